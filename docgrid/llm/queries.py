@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from docgrid.llm.bpe import op2_byte_bpe
 from docgrid.llm.decontaminate import op10_decontaminate
+from docgrid.llm.interleave import op5_interleave
+from docgrid.llm.langid import op4_langid
 from docgrid.llm.secrets import op3_secrets
 
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_secrets": op3_secrets,
+    "op4_langid": op4_langid,
+    "op5_interleave": op5_interleave,
     "op10_decontaminate": op10_decontaminate,
 }
 

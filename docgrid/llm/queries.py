@@ -6,6 +6,7 @@ from docgrid.llm.bpe import op2_byte_bpe
 from docgrid.llm.decontaminate import op10_decontaminate
 from docgrid.llm.interleave import op5_interleave
 from docgrid.llm.langid import op4_langid
+from docgrid.llm.ngram_join import op8_ngram_join
 from docgrid.llm.secrets import op3_secrets
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_secrets": op3_secrets,
     "op4_langid": op4_langid,
     "op5_interleave": op5_interleave,
+    "op8_ngram_join": op8_ngram_join,
     "op10_decontaminate": op10_decontaminate,
 }
 

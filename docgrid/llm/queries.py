@@ -5,6 +5,7 @@ from __future__ import annotations
 from docgrid.llm.bpe import op2_byte_bpe
 from docgrid.llm.decontaminate import op10_decontaminate
 from docgrid.llm.interleave import op5_interleave
+from docgrid.llm.kneser_ney import op9_kneser_ney
 from docgrid.llm.langid import op4_langid
 from docgrid.llm.ngram_join import op8_ngram_join
 from docgrid.llm.secrets import op3_secrets
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_langid": op4_langid,
     "op5_interleave": op5_interleave,
     "op8_ngram_join": op8_ngram_join,
+    "op9_kneser_ney": op9_kneser_ney,
     "op10_decontaminate": op10_decontaminate,
 }
 

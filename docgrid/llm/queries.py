@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from docgrid.llm.bpe import op2_byte_bpe
 from docgrid.llm.decontaminate import op10_decontaminate
+from docgrid.llm.fertility import op1_fertility
 from docgrid.llm.interleave import op5_interleave
 from docgrid.llm.kneser_ney import op9_kneser_ney
 from docgrid.llm.langid import op4_langid
@@ -11,6 +12,7 @@ from docgrid.llm.ngram_join import op8_ngram_join
 from docgrid.llm.secrets import op3_secrets
 
 QUERIES = {
+    "op1_fertility": op1_fertility,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_secrets": op3_secrets,
     "op4_langid": op4_langid,

@@ -83,10 +83,15 @@ def row_key(text: str = "text", doc_id: str = "doc_id") -> F.Column:
     return F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("a"), F.crc32(F.encode(F.col(text), "UTF-8")).alias("b"))
 
 
+#: Keys up to this number (some MB) are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 200_000
+
+
 def without_rows(df: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows of `df` whose (doc_id, text) is not in dropped(id, a, b); null ids compare equal."""
+    """Rows of `df` whose (doc_id, text) is not in dropped(id, a, b); null ids and texts compare equal."""
     k = free_name(df, "row_key")
     left = df.withColumn(k, row_key())
-    right = dropped.select(F.col("id").alias("drop_id"), F.col("a").alias("drop_a"), F.col("b").alias("drop_b"))
+    right = materialise(dropped.select(F.col("id").cast("long").alias("drop_id"), F.col("a").alias("drop_a"), F.col("b").alias("drop_b")), "dropped")
+    right = F.broadcast(right) if right.count() <= BROADCAST_KEYS else right.hint("shuffle_hash")
     on = left[k]["id"].eqNullSafe(right["drop_id"]) & left[k]["a"].eqNullSafe(right["drop_a"]) & left[k]["b"].eqNullSafe(right["drop_b"])
     return left.join(right, on, "left_anti").drop(k)

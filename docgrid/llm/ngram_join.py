@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrid.llm.common import importable, map_text, materialise, row_key, table
+from docgrid.llm.common import free_name, importable, map_text, materialise, row_key, table, without_rows
 from docgrid.llm.words import NON_SPACE, Words, mix, ngram_hash
 
 U = np.uint64
@@ -228,6 +228,23 @@ def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thre
     )
 
 
+def first_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The documents without near duplicates: of each class the one with the least (doc_id, hashes of the text), null ids first. Of repeated rows one stays."""
+    found = materialise(ngram_join(docs, text, doc_id, **options), "classes")
+    mine = F.struct("id", "a", "b")
+    kept = without_rows(docs, found.where(~mine.eqNullSafe(F.col("first"))).select("id", "a", "b"))
+    again = materialise(found.groupBy("id", "a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "a", "b"), "repeated")
+    if not again.limit(1).count():
+        return kept
+    single = without_rows(kept, again)
+    k = free_name(docs, "row_key")
+    rows = kept.withColumn(k, row_key(text, doc_id))
+    on = rows[k]["id"].cast("long").eqNullSafe(again["id"]) & rows[k]["a"].eqNullSafe(again["a"]) & rows[k]["b"].eqNullSafe(again["b"])
+    whole = F.struct(*docs.columns)
+    one = rows.join(again, on, "left_semi").groupBy(k).agg(F.min_by(whole, F.to_json(whole)).alias("row"))
+    return single.unionByName(one.select(*(F.col("row")[c].alias(c) for c in docs.columns)))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates among all documents: one row per document."""
     return ngram_join(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "n_links")

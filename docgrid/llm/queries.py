@@ -5,11 +5,13 @@ from __future__ import annotations
 from docgrid.llm.bpe import op2_byte_bpe
 from docgrid.llm.decontaminate import op10_decontaminate
 from docgrid.llm.fertility import op1_fertility
+from docgrid.llm.html_text import op6_html_text
 from docgrid.llm.interleave import op5_interleave
 from docgrid.llm.kneser_ney import op9_kneser_ney
 from docgrid.llm.langid import op4_langid
 from docgrid.llm.ngram_join import op8_ngram_join
 from docgrid.llm.secrets import op3_secrets
+from docgrid.llm.token_files import op7_token_files
 
 QUERIES = {
     "op1_fertility": op1_fertility,
@@ -17,6 +19,8 @@ QUERIES = {
     "op3_secrets": op3_secrets,
     "op4_langid": op4_langid,
     "op5_interleave": op5_interleave,
+    "op6_html_text": op6_html_text,
+    "op7_token_files": op7_token_files,
     "op8_ngram_join": op8_ngram_join,
     "op9_kneser_ney": op9_kneser_ney,
     "op10_decontaminate": op10_decontaminate,

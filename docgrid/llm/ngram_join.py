@@ -169,7 +169,8 @@ def verify(groups: DataFrame, threshold: float, size: int) -> DataFrame:
         return pa.table({"node": nodes[some], "links": links[some], "root": root[some]})
 
     importable(groups.sparkSession)
-    return groups.groupBy("hub", "i", "j").applyInArrow(work, "node bigint, links bigint, root bigint")
+    # else the blocks of one group would stay where the join by hub put them all
+    return groups.repartition("hub", "i", "j").groupBy("hub", "i", "j").applyInArrow(work, "node bigint, links bigint, root bigint")
 
 
 def components(edges: DataFrame, name: str = "labels") -> DataFrame:

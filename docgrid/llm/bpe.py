@@ -6,7 +6,8 @@ pre-splitting pattern holds such a place inside, and what follows it does not de
 before, so the ids are those of the whole text. Decoding works on raw bytes: ids that cut a
 character in two give back exactly those bytes.
 
-Null text counts as empty: no ids, empty bytes. Null ids decode to null. Extra columns pass through.
+Null text counts as empty: no ids, empty bytes. Null ids decode to null. Extra columns pass through; one that has the name
+of an added column is replaced.
 Each row is encoded by itself: ties and repeated rows give repeated results. The rank file is read
 by the driver (its size does not grow with the data) and sent to the workers.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docgrid.llm.common import CHUNK_BYTES, importable, sliced, table
+from docgrid.llm.common import CHUNK_BYTES, importable, sliced, table, without_columns
 
 LONG_TEXT = 1 << 16
 _SAFE = re.compile(r"\S(?=[ \n])")
@@ -65,9 +66,8 @@ def _broadcast_ranks(spark: SparkSession, path: str | None):
 
 
 def _add_column(df: DataFrame, source: str, name: str, make, limit: int) -> DataFrame:
-    if name.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"there is a column {name} already")
     importable(df.sparkSession)
+    df = without_columns(df, name)
 
     def run(batches):
         for part in sliced(batches, source, limit):

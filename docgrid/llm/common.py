@@ -83,6 +83,12 @@ def row_key(text: str = "text", doc_id: str = "doc_id") -> F.Column:
     return F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("a"), F.crc32(F.encode(F.col(text), "UTF-8")).alias("b"))
 
 
+def without_columns(df: DataFrame, *names: str) -> DataFrame:
+    """Room for new columns: those that have their names (without case) go."""
+    gone = {n.lower() for n in names}
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in gone)) if gone & {c.lower() for c in df.columns} else df
+
+
 #: Keys up to this number (some MB) are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
 

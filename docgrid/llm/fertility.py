@@ -9,7 +9,8 @@ Words are `[^\\x20\\x09-\\x0D]+` of the whole text. A word's tokens are those th
 distinct word of a batch is split once. The main script is the one with the most letters (of equal ones the first in
 SCRIPTS); a text without letters has the script `none`. Null and empty texts have no words: all counts are 0,
 the measures null, and they fail the base rules. Entropy is held against its band from MIN_TOKENS tokens on. Every row is judged by itself, so
-repeated rows and ties give equal results. Extra columns pass through.
+repeated rows and ties give equal results. Extra columns pass through; those that have the
+names of MEASURES are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docgrid.llm.common import CHUNK_BYTES, importable, sliced, table
+from docgrid.llm.common import CHUNK_BYTES, importable, sliced, table, without_columns
 from docgrid.llm.words import NON_SPACE, Words, mix, ngram_hash
 
 MIN_WORDS = 50
@@ -162,9 +163,8 @@ def measure(texts: pa.Array, model: bytes, bands: dict = BANDS, other: tuple = O
 
 def judge(df: DataFrame, text: str = "text", model: str | None = None, bands: dict = BANDS, other: tuple = OTHER_BAND) -> DataFrame:
     """Add the columns of MEASURES to every row."""
-    if clash := {m.lower() for m in MEASURES} & {c.lower() for c in df.columns}:
-        raise ValueError(f"there are columns {sorted(clash)} already")
     importable(df.sparkSession)
+    df = without_columns(df, *MEASURES)
     with open(model or public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
         sent = df.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file
 

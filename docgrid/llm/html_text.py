@@ -9,7 +9,7 @@ adverts, forms, scripts, styles and reader comments never count: they are known
 Character references are decoded; white space inside a line becomes one blank, lines are trimmed, empty ones go, and
 the rest is joined in page order by line breaks. A line break tag is white space. Null or empty html, and pages without content, give
 an empty text. Unclosed elements end with their parent. Every page is judged by itself, so repeated pages give equal results.
-Extra columns pass through.
+Extra columns pass through; one that has the name of the added column is replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docgrid.llm.common import CHUNK_BYTES, importable, sliced, table
+from docgrid.llm.common import CHUNK_BYTES, importable, sliced, table, without_columns
 
 SIGMA = 1.5
 REGION_SHARE = 0.7
@@ -169,9 +169,8 @@ def main_text(html: str | None) -> str:
 
 def extract(df: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
     """Add the main text of every page."""
-    if text.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"there is a column {text} already")
     importable(df.sparkSession)
+    df = without_columns(df, text)
 
     def run(batches):
         for part in sliced(batches, html, CHUNK_BYTES):

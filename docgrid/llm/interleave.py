@@ -13,7 +13,7 @@ source with a third of all rows has many; a task sorts a few thousand rows.
 
 Null sources are a stratum of their own. Null text counts as no bytes. Ties and repeated rows: the seeded key is a hash of
 doc_id and text; rows with equal keys are ordered by id, size and checksum, and rows equal in these are interchangeable.
-An empty table gives no rows. Extra columns are dropped unless named in `keep`.
+An empty table gives no rows. Extra columns are dropped unless named in `keep`; a name that is in use here gets `_kept` behind it.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ SEED = 17
 OVERHEAD = 16
 BUCKET_ROWS = 4096
 LAW = "rows"
+_OWN = {"doc_id", "size", "text_crc32", "source_name", "shard", "slot", "rank_in_source", "seeded_key", "n_source", "fraction", "bucket", "place", "before", "source_of", "n_all", "slice", "position", "s", "b", "n", "one"}
 
 
 def _starts(counts: DataFrame, of: list[str], rank: str, n: str, name: str) -> DataFrame:
@@ -78,7 +79,7 @@ def shard_rows(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source
         (F.octet_length(body) + OVERHEAD).cast("long").alias("size"),
         F.crc32(body).cast("long").alias("text_crc32"),
         F.col(source).alias("source_name"),
-        *(F.col(c) for c in keep),
+        *(F.col(c).alias(f"{c}_kept" if c.lower() in _OWN else c) for c in keep),
     )
     return interleave(materialise(rows, "rows"), "source_name", ["doc_id", "size", "text_crc32"], shards, seed)
 

@@ -42,6 +42,7 @@ U = np.uint64
 PART_TOKENS = 4 << 20
 START, END = U(0x5DEECE66D5DEECE6), U(0xB5026F5AA96619E9)
 BITS = 56
+LEAST = 0.05
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -233,11 +234,10 @@ def received(t: pa.Table, kind: str) -> tuple[np.ndarray, list[np.ndarray]]:
 # ---- the model
 
 def discounts(n: list[int]) -> np.ndarray:
-    """What is taken from counts of 0, 1, 2, and 3 or more, from the counts of counts 1 to 4."""
-    n1, n2, n3, n4 = n
-    y = n1 / (n1 + 2 * n2) if n1 else 0.0
-    d = [0.0, *(k - (k + 1) * y * up / low if low else k * y for k, (low, up) in enumerate(((n1, n2), (n2, n3), (n3, n4)), 1))]
-    return np.array([min(max(x, 0.0), float(k)) for k, x in enumerate(d)])
+    """What is taken from counts of 0, 1, 2, and 3 or more, from the counts of counts 1 to 4. Held within LEAST and the count less LEAST, so that no word gets no probability; all 1/2 where no count is 1."""
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
+    d = [k - (k + 1) * y * n[k] / n[k - 1] if y and n[k - 1] else 0.5 for k in (1, 2, 3)]
+    return np.array([0.0, *(min(max(x, LEAST), k - LEAST) for k, x in enumerate(d, 1))])
 
 
 def probabilities(c_vw, c_v, n_v, n_w, bigram_sums: list[int], word_sums: list[int]) -> np.ndarray:

@@ -10,7 +10,8 @@ calibrates the softmax by one temperature.
 
 Training rows: non-null lang, and crc32(doc_id as text) mod 3 is not 1; a null doc_id is neither held out nor learned from.
 Null texts and texts without letters are `und` with score 0. With nothing to learn from, every text is `und`.
-Ties go to the first language in alphabetical order. Extra columns pass through.
+Ties go to the first language in alphabetical order. Extra columns pass through; those
+that have the names of added columns are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docgrid.llm.common import importable, map_text, sliced, table
+from docgrid.llm.common import importable, map_text, sliced, table, without_columns
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -175,7 +176,7 @@ def calibrate(logits: np.ndarray, truth: np.ndarray) -> float:
 
 def fit(train: DataFrame, per_class: int = FIT_PER_CLASS, buckets: int = BUCKETS) -> Model:
     """Learn from train(text, lang)."""
-    train = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    train = train.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     df, docs = document_frequency(train, buckets)
     rows = sample_features(train, per_class, buckets)
     langs = sorted({r[0] for r in rows})
@@ -209,9 +210,8 @@ def identify(texts: list, model: Model) -> tuple[list[str], list[float]]:
 
 def predict(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """Add the predicted language and its calibrated probability."""
-    if {lang.lower(), score.lower()} & {c.lower() for c in df.columns}:
-        raise ValueError(f"there is a column {lang} or {score} already")
     importable(df.sparkSession)
+    df = without_columns(df, lang, score)
     sent = df.sparkSession.sparkContext.broadcast(model)  # buckets x languages, whatever the size of the data
 
     def run(batches):

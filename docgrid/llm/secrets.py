@@ -9,7 +9,8 @@ reaches the class's threshold and it holds letters and digits. Allow-listed cand
 UUID-like, paths and URLs, example keys, long runs of one character. Base spans are never suppressed.
 
 Positions are code points, ends exclusive. Null and empty texts have no spans. Each row is judged by itself;
-ties (kinds that start together) are ordered assign, access, hex, entropy. Extra columns pass through.
+ties (kinds that start together) are ordered assign, access, hex, entropy. Extra columns pass through; one with the name
+of the added column is replaced.
 """
 
 from __future__ import annotations

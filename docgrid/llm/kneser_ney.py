@@ -39,7 +39,7 @@ from docgrid.llm.common import CHUNK_BYTES, importable, materialise, shared_dir,
 from docgrid.llm.words import NON_SPACE, Words, mix
 
 U = np.uint64
-PART_TOKENS = 4 << 20
+PART_TOKENS = 2 << 20
 START, END = U(0x5DEECE66D5DEECE6), U(0xB5026F5AA96619E9)
 BITS = 56
 LEAST = 0.05

@@ -18,6 +18,7 @@ texts have the end id alone. An empty table gives an empty file. Extra columns a
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import public_tokenizers
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docgrid.llm.common import CHUNK_BYTES, importable, materialise, sliced, table
+from docgrid.llm.common import BROADCAST_KEYS, CHUNK_BYTES, importable, materialise, sliced, table
 from docgrid.llm.words import NON_SPACE, Words
 
 U = np.uint64
@@ -136,10 +137,13 @@ def read_stream(data: bytes, only: int | None = None) -> np.ndarray:
 # ---- tokenizing
 
 _loaded: dict = {}
+#: Words of printable ASCII: normalised by lower-casing alone, and cut by the vocabulary's pattern as this one cuts them.
+_PLAIN = re.compile(rb"[!-~]+").fullmatch
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
 
 
 def tokenizer(spec: bytes):
-    """The tokenizer of a file's bytes and this worker's ids by word."""
+    """The tokenizer of a file's bytes and this worker's ids by word and by part of a word."""
     key = hash(spec)
     if key not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -147,21 +151,34 @@ def tokenizer(spec: bytes):
 
         t = Tokenizer.from_buffer(spec)
         t.encode_special_tokens = True  # their strings in a text are ordinary text
-        _loaded[key] = t, {}
+        _loaded[key] = t, {}, {}
     return _loaded[key]
 
 
 def token_ids(texts: pa.Array, spec: bytes, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, each with its end id, and how many each has."""
-    t, cache = tokenizer(spec)
+    t, cache, parts = tokenizer(spec)
+    tokenize = t.model.tokenize
+
+    def part_ids(part: str) -> bytes:
+        found = parts.get(part)
+        if found is None:
+            found = parts[part] = np.array([x.id for x in tokenize(part)], "<u4").tobytes()
+        return found
+
     w = Words(texts, NON_SPACE, lower=False)
     _, first, place = np.unique(w.hash, return_index=True, return_inverse=True)
     raw = w.buf.tobytes()
     words = [raw[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)]
     if len(cache) > CACHE_WORDS:
         cache.clear()
+        parts.clear()
     new = [x for x in words if x not in cache]
-    for x, e in zip(new, t.encode_batch_fast([x.decode("utf-8") for x in new], add_special_tokens=False), strict=True):
+    plain = [x for x in new if _PLAIN(x)]
+    for x in plain:
+        cache[x] = b"".join(map(part_ids, _PARTS(x.decode().lower())))
+    rest = [x for x in new if x not in cache]
+    for x, e in zip(rest, t.encode_batch_fast([x.decode("utf-8") for x in rest], add_special_tokens=False), strict=True):
         cache[x] = np.array(e.ids, "<u4").tobytes()
     own = [cache[x] for x in words]
     flat = np.frombuffer(b"".join(own), "<u4")
@@ -223,7 +240,9 @@ def read_ids(file: DataFrame) -> DataFrame:
     in_part = chunks.withColumn("before_chunk", F.coalesce(F.sum("n").over(before), F.lit(0)))
     before = Window.partitionBy(F.lit(1)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     parts = chunks.groupBy("part").agg(F.sum("n").alias("n")).withColumn("before_part", F.coalesce(F.sum("n").over(before), F.lit(0))).select("part", "before_part")
-    starts = in_part.join(parts, "part").select("part", "chunk", (F.col("before_chunk") + F.col("before_part")).alias("before"))
+    starts = materialise(in_part.join(parts, "part").select("part", "chunk", (F.col("before_chunk") + F.col("before_part")).alias("before")), "starts")
+    # a row per chunk of some MB: ids are shuffled only where even these are too many to send
+    starts = F.broadcast(starts) if starts.count() <= BROADCAST_KEYS else starts
     return file.mapInArrow(run, READ).join(starts, ["part", "chunk"]).select("id", (F.col("before") + F.col("offset")).alias("start"), "ids")
 
 

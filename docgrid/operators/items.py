@@ -9,6 +9,7 @@ from docgrid.functions.text import clean
 from docgrid.functions.values import loose_number, number
 from docgrid.operators.grid import BANDS, band_arrays, data_bands, header_bands, nearest_band, readable_map, split_bands
 from docgrid.operators.naming import header_rows, name_bands, split_titles, titles_without_column, titles_without_data, with_titles
+from docgrid.session import stored
 from docgrid.schema import ATOMIC, ESSENTIAL, ITEM_FIELDS, ITEM_NUMBERS
 
 NO_HEADER = "no encontré la fila de encabezados"
@@ -113,8 +114,8 @@ def conflicts(line_table: DataFrame) -> DataFrame:
 
 
 def extract(rows: DataFrame, mode: str = "x", forced: DataFrame | None = None) -> DataFrame:
-    """One row per page: items and avisos. Mode x: a box belongs to the band it overlaps most; posicional: the k-th box is the k-th column."""
-    grids = page_grids(rows, mode, forced)
+    """One row per page: items and avisos. `rows` is read several times: give a stored table. Mode x: a box belongs to the band it overlaps most; posicional: the k-th box is the k-th column."""
+    grids = stored(page_grids(rows, mode, forced), "grids")
     got = lines(rows, grids, mode)
     item = F.struct(*ITEM_FIELDS)
     per_page = got.groupBy("doc_id").agg(

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docgrid.operators import boxes, checks, compare, items, report, rows, truth
+from docgrid.session import stored
 
 
 class Replay(NamedTuple):
@@ -31,14 +32,14 @@ def images_to_items(images: DataFrame, find: Callable, crop: Callable, read: Cal
     found = find(images)
     cut = crop(images.join(found, "path"))
     results = read(cut).select(F.col("path").alias("doc_id"), "res")
-    return items.standardise(rows.group_rows(boxes.result_boxes(results)), map_titles)
+    return items.standardise(stored(rows.group_rows(boxes.result_boxes(results)), "rows"), map_titles)
 
 
 def replay(results: DataFrame, truth_files: DataFrame, mode: str = "x") -> Replay:
     """Saved reader results and hand-made truth to everything that is reported. Both sides are kept by doc_id."""
-    grouped = rows.group_rows(boxes.boxes(results)).cache()
-    extracted = items.extract(grouped, mode).cache()
-    documents = truth.normalise(truth_files).cache()
+    grouped = stored(rows.group_rows(boxes.boxes(results)), "rows")
+    extracted = stored(items.extract(grouped, mode), "items")
+    documents = stored(truth.normalise(truth_files), "truth")
     read, true = item_table(extracted), truth.truth_items(documents)
     paired = compare.pairs(read, true)
     verdicts = compare.judged(paired)

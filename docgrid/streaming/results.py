@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docgrid.operators import boxes, items, rows
 from docgrid.operators.boxes import RESULT
+from docgrid.session import stored
 
 
 def result_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -20,7 +21,7 @@ def result_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -
 
 def items_of_batch(results: DataFrame) -> DataFrame:
     """(doc_id, items, avisos) of a batch of whole pages."""
-    return items.extract(rows.group_rows(boxes.result_boxes(results)))
+    return items.extract(stored(rows.group_rows(boxes.result_boxes(results)), "rows"))
 
 
 def write_items(results: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):

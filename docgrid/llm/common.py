@@ -15,10 +15,15 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 2 << 20
 
 
+#: Workers live on between tasks: blocks of 1 MB and more go back to the system as they are freed, in Arrow too.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
+    """Let Python workers import this package from where the driver has it, and give memory back."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
+    env.update(WORKER_MEMORY)
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if root not in paths:
         env["PYTHONPATH"] = ":".join([root, *paths])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docgrid.functions.text import clean
 from docgrid.functions.values import loose_number, number
 from docgrid.operators.grid import BANDS, band_arrays, data_bands, header_bands, nearest_band, readable_map, split_bands
-from docgrid.operators.naming import header_rows, name_bands, split_titles, titles_without_column, titles_without_data, with_titles
+from docgrid.operators.naming import header_rows, name_bands, split_titles, titles_without_column, titles_without_data, with_parts, with_titles
 from docgrid.session import stored
 from docgrid.schema import ATOMIC, ESSENTIAL, ITEM_FIELDS, ITEM_NUMBERS
 
@@ -33,7 +33,7 @@ def page_grids(rows: DataFrame, mode: str = "x", forced: DataFrame | None = None
     forced(doc_id, names): fields by title, from elsewhere; they count where the grid comes from the header."""
     heads = header_rows(rows)
     if forced is not None:
-        first = with_titles(rows, 1).select("doc_id", F.col("titles").alias("first_titles"))
+        first = with_titles(rows, 1).select("doc_id", with_parts(F.col("titles")).alias("first_titles"))
         heads = heads.join(forced.select("doc_id", F.col("names").cast(NAMES).alias("forced")), "doc_id", "left").join(first, "doc_id", "left")
         heads = heads.withColumn("named", F.when(F.col("forced").isNull(), F.col("named")).otherwise(F.filter(F.transform("forced", lambda f, i: F.struct(i.alias("at"), i.alias("title"), f.alias("field"), F.lit(None).cast("double").alias("score"))), lambda x: x["field"].isNotNull())))
         use = F.col("header").isNull() & F.col("forced").isNotNull()
@@ -144,7 +144,7 @@ def standardise(rows: DataFrame, map_titles=None, least_essential: int = 3) -> D
     poor = first.where(F.col("avisos.error").isNotNull() | (F.size("avisos.esenciales") < least_essential)).select("doc_id")
     again = rows.join(poor, "doc_id", "left_semi")
     heads = header_rows(again, least=1)
-    top = with_titles(again, 1).select("doc_id", F.col("titles").alias("first_titles"))
+    top = with_titles(again, 1).select("doc_id", with_parts(F.col("titles")).alias("first_titles"))
     asked = heads.join(top, "doc_id", "left").select("doc_id", F.transform(F.coalesce("titles", "first_titles"), lambda t: t["txt"]).alias("titles"))
     names = map_titles(asked).where(F.exists("names", lambda f: f.isNotNull()))
     second = extract(again.join(names.select("doc_id"), "doc_id", "left_semi"), forced=names)

@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docgrid.llm.common import CHUNK_BYTES, importable, sliced, table, without_columns
+from docgrid.llm.common import importable, sliced, table, without_columns
 from docgrid.llm.words import NON_SPACE, Words, mix, ngram_hash
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_TOKENS = 200
+#: Bytes of text at a time: the more, the fewer words are split twice.
+CHUNK_BYTES = 2 << 20
 #: Script: ranges of code points.
 SCRIPTS = {
     "latin": [(0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0x24F), (0x1E00, 0x1EFF)],

@@ -41,8 +41,8 @@ THRESHOLD = 0.8
 RECALL = 0.9995
 MAX_HASHES = 160
 BLOCK_NODES = 1024
-BLOCK_SHINGLES = 1 << 20
-CELLS = 1 << 22
+BLOCK_SHINGLES = 1 << 19
+CELLS = 1 << 21
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES) -> tuple[int, int]:

@@ -27,12 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docgrid.llm.common import BROADCAST_KEYS, CHUNK_BYTES, importable, materialise, sliced, table
+from docgrid.llm.common import BROADCAST_KEYS, importable, materialise, sliced, table
 from docgrid.llm.words import NON_SPACE, Words
 
 U = np.uint64
 END_ID = 1
 BLOCK = 1 << 16
+#: Bytes of text in a chunk: the more, the fewer words are looked up twice.
+CHUNK_BYTES = 2 << 20
 CACHE_WORDS = 1_000_000
 #: Selector: (ids in a word, bits of each). 0 is the escape.
 SELECTORS = {1: (60, 1), 2: (30, 2), 3: (20, 3), 4: (15, 4), 5: (12, 5), 6: (10, 6), 7: (8, 7), 8: (7, 8), 9: (6, 10), 10: (5, 12), 11: (4, 15), 12: (3, 20), 13: (2, 30), 14: (1, 60)}

@@ -45,7 +45,7 @@ _powers: list[np.ndarray] = []
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         _powers[:] = [np.concatenate([[U(1)], np.multiply.accumulate(np.full(size - 1, q, U))]) for q in (U(_Q), U(_QINV))]
     return _powers[0], _powers[1]
 

@@ -38,6 +38,7 @@ def page_grids(rows: DataFrame, mode: str = "x", forced: DataFrame | None = None
         heads = heads.withColumn("named", F.when(F.col("forced").isNull(), F.col("named")).otherwise(F.filter(F.transform("forced", lambda f, i: F.struct(i.alias("at"), i.alias("title"), f.alias("field"), F.lit(None).cast("double").alias("score"))), lambda x: x["field"].isNotNull())))
         use = F.col("header").isNull() & F.col("forced").isNotNull()
         heads = heads.withColumn("titles", F.when(use, F.col("first_titles")).otherwise(F.col("titles"))).withColumn("header", F.when(use, 0).otherwise(F.col("header")))
+    heads = stored(heads, "heads")  # one row per page, read by every step of the grid
     data = rows.join(heads.select("doc_id", "header"), "doc_id").where(F.col("row_id") > F.col("header"))
     found = band_arrays(split_bands(data_bands(data), data))
     p = heads.join(found, "doc_id", "left")

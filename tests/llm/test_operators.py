@@ -215,6 +215,31 @@ def test_proximity(spark):
     assert out[1].hit_spans == [[0, 13]] and out[1].contaminated
 
 
+def near(text: str, item: str, slop: int = 2) -> bool:
+    w, b = text.split(), item.split()
+    wins = [b[i : i + 13] for i in range(max(1, len(b) - 12))]
+    return any(all(t in w[max(0, s + j - slop) : max(0, s + j + slop + 1)] for j, t in enumerate(win)) for win in wins for s in range(-slop, len(w) + slop))
+
+
+def test_proximity_places(spark):
+    """Near matches at the first and last words of a document, with either neighbour, and against brute force."""
+    item = [f"t{i}" for i in range(13)]
+    swapped = [[item[1], item[0], *item[2:]], [*item[:-2], item[-1], item[-2]], [*item[2::-1], *item[3:]], [*item[:-3], *item[:-4:-1]]]
+    texts = [" ".join(x) for x in swapped] + ["other words", " ".join(item[:7]), " ".join(item[7:])]
+    rng = random.Random(8)
+    for _ in range(60):
+        x = list(item)
+        for _ in range(rng.randrange(1, 12)):
+            x.insert(rng.randrange(len(x) + 1), rng.choice(["t3", "new", "t9"]))
+        texts.append(" ".join(x))
+    rows = list(enumerate(texts))
+    benchmark = spark.createDataFrame([("a", " ".join(item)), ("b", "t9 t3")], "item_id string, text string")
+    out = {r.id: r.near_items for r in decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), benchmark).collect()}
+    assert out == {i: [n for n, b in (("a", " ".join(item)), ("b", "t9 t3")) if near(t, b)] for i, t in rows}
+    assert all("a" in out[i] for i in range(4)) and out[4] == [] and "a" not in out[5] + out[6]
+    assert 0 < sum("a" in out[i] for i in range(7, 67)) < 60
+
+
 def test_slices(spark):
     docs = spark.createDataFrame([(1, prose(9, 60))], "doc_id long, text string")
     items = spark.createDataFrame([(i, " ".join(prose(9, 60).split()[i : i + 20])) for i in range(10)], "item_id long, text string")

@@ -194,3 +194,12 @@ def test_op10(spark, sf_dir, rows):
     out = expect((r[0], *contamination(r[1], benchmark)) for r in rows)
     assert got(spark, "op10_decontaminate", sf_dir[0], "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == out
     assert any(x[5] for x in out)
+
+
+def test_op10_near(spark, tmp_path):
+    """The query returns proximity matches beside the exact ones."""
+    words = [f"t{i}" for i in range(13)]
+    texts = [words, [*words[:6], "new", *words[6:]], [words[1], words[0], *words[2:]], words[:9]]
+    spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, " ".join(words))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert got(spark, "op10_decontaminate", str(tmp_path), "doc_id", "n_items", "n_near_items", "near_items_sha256") == [(0, 1, 1, sha("7")), (1, 0, 1, sha("7")), (2, 0, 1, sha("7")), (3, 0, 0, EMPTY_SHA)]

@@ -2,7 +2,8 @@
 
 A public SentencePiece vocabulary with byte fallback splits each word of a text. Per text this gives characters
 per token, the share of byte-fallback tokens, and the Shannon entropy (bits) of its token ids. Each script has bands
-for them; a text outside the band of its main script is rejected. Base counts of words, symbols and
+for them; a text outside the band of its main script is rejected. A second vocabulary, byte-level BPE for many languages, splits
+the lower-cased words without ASCII signs and digits: letters per token of it have a floor per script (FLOORS), between random letters and prose. Base counts of words, symbols and
 repetition go with them, and texts that fail the base rules are not kept either.
 
 Words are `[^\\x20\\x09-\\x0D]+` of the whole text. A word's tokens are those that it has after a blank, so each
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docgrid.llm import bpe
 from docgrid.llm.common import importable, sliced, table, without_columns
 from docgrid.llm.words import NON_SPACE, Words, mix, ngram_hash
 
@@ -39,23 +41,41 @@ SCRIPTS = {
     "cyrillic": [(0x400, 0x52F)],
     "hebrew": [(0x590, 0x5FF)],
     "arabic": [(0x600, 0x6FF), (0x750, 0x77F)],
-    "indic": [(0x900, 0xDFF)],
+    "devanagari": [(0x900, 0x97F)],
+    "tamil": [(0xB80, 0xBFF)],
+    "indic": [(0x980, 0xB7F), (0xC00, 0xDFF)],
     "thai": [(0xE00, 0xE7F)],
     "hangul": [(0x1100, 0x11FF), (0xAC00, 0xD7AF)],
-    "han": [(0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x2FA1F)],
+    "kana": [(0x3040, 0x30FF)],
+    "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x2FA1F)],
 }
 #: Script: (least and most characters per token, largest share of byte tokens, least entropy in bits).
 BANDS = {
-    "latin": (1.25, 12.0, 0.20, 2.0),
-    "greek": (0.6, 10.0, 0.60, 2.0),
-    "cyrillic": (0.9, 12.0, 0.40, 2.0),
+    "latin": (1.0, 12.0, 0.20, 2.0),
+    "greek": (0.6, 10.0, 0.20, 2.0),
+    "cyrillic": (0.9, 12.0, 0.20, 2.0),
+    "hebrew": (0.6, 12.0, 0.20, 1.5),
+    "arabic": (0.6, 12.0, 0.30, 1.5),
+    "devanagari": (0.5, 12.0, 0.30, 1.5),
+    "tamil": (0.5, 12.0, 0.50, 1.5),
+    "thai": (0.6, 12.0, 0.30, 1.5),
+    "hangul": (0.4, 12.0, 0.50, 1.5),
+    "kana": (0.5, 12.0, 0.40, 1.5),
+    "han": (0.5, 12.0, 0.50, 1.5),
     "none": (0.3, 30.0, 0.90, 0.0),
 }
-#: For scripts that the vocabulary hardly covers: most tokens are bytes.
+#: For scripts that neither vocabulary covers (indic): prose and random letters are both mostly bytes there, and cannot be told apart.
 OTHER_BAND = (0.2, 12.0, 1.0, 1.5)
+#: Script: least letters per token of the second vocabulary. Random letters lie below, prose above.
+FLOORS = {
+    "latin": 1.68, "greek": 1.3, "cyrillic": 1.28, "hebrew": 1.3, "arabic": 1.05, "devanagari": 0.65, "tamil": 0.85,
+    "thai": 0.85, "hangul": 0.75, "kana": 0.87, "han": 0.63,
+}
+_SIGNS = {i: None for i in range(0x80) if not chr(i).isalpha()}
 MEASURES = {
     "n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long",
     "base_failed": "boolean", "kept": "boolean", "script": "string", "n_tokens": "long", "chars_per_token": "double", "byte_share": "double", "token_entropy": "double",
+    "letters_per_token": "double",
 }
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -143,7 +163,21 @@ def token_measures(w: Words, model: bytes):
     return tokens, byte_tokens, np.maximum(entropy, 0.0)
 
 
-def measure(texts: pa.Array, model: bytes, bands: dict = BANDS, other: tuple = OTHER_BAND) -> list[pa.Array]:
+def wide_measures(w: Words, ranks: bytes):
+    """By text: letters, and tokens of the second vocabulary."""
+    n = len(w.doc) - 1
+    if not len(w.hash):
+        return np.zeros(n, np.int64), np.zeros(n, np.int64)
+    enc = bpe.encoding(ranks, public_tokenizers.PATTERN)
+    _, first, place = np.unique(w.hash, return_index=True, return_inverse=True)
+    raw = w.buf.tobytes()
+    words = [raw[a:b].decode("utf-8", "replace").lower().translate(_SIGNS) for a, b in zip(w.start[first], w.end[first], strict=True)]
+    letters = np.array([len(x) for x in words], np.int64)
+    tokens = np.array([len(enc.encode_ordinary(f" {x}")) if x else 0 for x in words], np.int64)
+    return per_text(letters[place], w.doc), per_text(tokens[place], w.doc)
+
+
+def measure(texts: pa.Array, model: bytes, ranks: bytes, bands: dict = BANDS, other: tuple = OTHER_BAND, floors: dict = FLOORS) -> list[pa.Array]:
     """The columns of MEASURES."""
     w = Words(texts, NON_SPACE, lower=False)
     words = w.counts()
@@ -153,26 +187,31 @@ def measure(texts: pa.Array, model: bytes, bands: dict = BANDS, other: tuple = O
     repeats = repeated_words(w)
     failed = (words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * words)
     tokens, in_bytes, entropy = token_measures(w, model)
+    letters, wide = wide_measures(w, ranks)
     scripts = [main_script(t) for t in strings]
     some = tokens > 0
     per_token, share = chars / np.maximum(tokens, 1), in_bytes / np.maximum(tokens, 1)
     low, high, most, least = (np.array(x) for x in zip(*[bands.get(s, other) for s in scripts], strict=True))
     fits = (per_token >= low) & (per_token <= high) & (share <= most) & ((entropy >= least) | (tokens < MIN_TOKENS))
-    doubles = [pa.array(x, pa.float64(), mask=~some) for x in (per_token, share, entropy)]
+    letters_per_token = letters / np.maximum(wide, 1)
+    fits &= letters_per_token >= np.array([floors.get(s, 0.0) for s in scripts])
+    doubles = [*(pa.array(x, pa.float64(), mask=~some) for x in (per_token, share, entropy)), pa.array(letters_per_token, pa.float64(), mask=wide == 0)]
     counts = [pa.array(x, pa.int64()) for x in (words, chars, symbols, [duplicate_lines(t) for t in strings], repeats)]
     return [*counts, pa.array(failed), pa.array(~failed & fits & some), pa.array(scripts, pa.string()), pa.array(tokens, pa.int64()), *doubles]
 
 
-def judge(df: DataFrame, text: str = "text", model: str | None = None, bands: dict = BANDS, other: tuple = OTHER_BAND) -> DataFrame:
+def judge(df: DataFrame, text: str = "text", model: str | None = None, bands: dict = BANDS, other: tuple = OTHER_BAND, ranks: str | None = None, floors: dict = FLOORS) -> DataFrame:
     """Add the columns of MEASURES to every row."""
     importable(df.sparkSession)
     df = without_columns(df, *MEASURES)
     with open(model or public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
         sent = df.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file
+    with open(ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        wide = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
         for part in sliced(batches, text, CHUNK_BYTES):
-            made = measure(part.column(part.schema.get_field_index(text)), sent.value, bands, other)
+            made = measure(part.column(part.schema.get_field_index(text)), sent.value, wide.value, bands, other, floors)
             yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *MEASURES])
 
     types = {"long": T.LongType(), "boolean": T.BooleanType(), "string": T.StringType(), "double": T.DoubleType()}

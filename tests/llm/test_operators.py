@@ -43,6 +43,34 @@ def test_fertility_bands(spark):
     assert none.n_words == 0 and none.chars_per_token is None and none.script == "none" and none.kept is False
 
 
+def letters(first: int, last: int) -> str:
+    return "".join(map(chr, range(first, last + 1)))
+
+
+NOISE = {"latin": letters(0x61, 0x7A), "upper": letters(0x41, 0x5A), "rare": "qxzjkvwbpg", "cyrillic": letters(0x430, 0x44F), "greek": letters(0x3B1, 0x3C9), "hebrew": letters(0x5D0, 0x5EA), "devanagari": letters(0x905, 0x939), "thai": letters(0xE01, 0xE2E), "hangul": letters(0xAC00, 0xD7A3), "han": letters(0x4E00, 0x9FFF)}
+PROSE = {
+    "latin": "Şehrin tarihi, küçük bir tüccar grubunun nehrin yakınına yerleştiği on ikinci yüzyıla kadar uzanır.",
+    "vietnamese": "Lịch sử của thành phố bắt đầu từ thế kỷ thứ mười hai, khi một nhóm nhỏ thương nhân định cư gần con sông.",
+    "upper": "THE HISTORY OF THE TOWN GOES BACK TO THE TWELFTH CENTURY, WHEN A SMALL GROUP OF MERCHANTS SETTLED NEAR THE RIVER.",
+    "cyrillic": "История города восходит к двенадцатому веку, когда небольшая группа купцов поселилась у реки и построила рынок.",
+    "greek": "Η ιστορία της πόλης ξεκινά από τον δωδέκατο αιώνα, όταν μια μικρή ομάδα εμπόρων εγκαταστάθηκε κοντά στο ποτάμι.",
+    "hebrew": "ההיסטוריה של העיר מתחילה במאה השתים עשרה, כאשר קבוצה קטנה של סוחרים התיישבה ליד הנהר.",
+    "devanagari": "शहर का इतिहास बारहवीं शताब्दी से शुरू होता है जब व्यापारियों का एक छोटा समूह नदी के पास बस गया।",
+    "hangul": "도시의 역사는 십이 세기로 거슬러 올라가며 작은 상인 무리가 강 근처에 정착하여 시장을 세웠다.",
+}
+
+
+def test_fertility_noise(spark):
+    """Random letters fall outside the bands of their script, prose stays."""
+    rng = random.Random(6)
+    rows = [("noise " + k, " ".join("".join(rng.choices(a, k=8)) for _ in range(200))) for k, a in NOISE.items()]
+    # shuffled, so that the repetition rule stays out of it
+    rows += [("prose " + k, " ".join(rng.sample(t.split() * 5, len(t.split()) * 5))) for k, t in PROSE.items()]
+    out = fertility.judge(spark.createDataFrame(rows, "name string, text string")).collect()
+    assert not any(r.base_failed for r in out)
+    assert [r.name for r in out if r.kept] == ["prose " + k for k in PROSE]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ab \n1.'s \x1c字", max_size=60), st.integers(1, 20))
 def test_bpe_pieces(text, long_text):

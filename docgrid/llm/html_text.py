@@ -2,8 +2,9 @@
 
 The standard library's HTML parser streams events. Text between block boundaries is a line; each line knows its text
 and the tags on it. The ratio of text characters to tags is smoothed over neighbouring lines by a Gaussian and lines at
-or over a threshold (the standard deviation of the smoothed ratios) are the content cluster. The content region is the lowest element that
-holds most of the cluster's text; all lines in it are returned, short ones too. Menus, headers, footers, sidebars, notices,
+or over a threshold (the standard deviation of the smoothed ratios) are the content cluster. The lowest element that holds most of the cluster's
+text leads to the content region: the article around it (or main, where there is none), or else the widest block around it that adds no
+menus and the like, and any block below body that adds lines of the cluster. All lines of the region are returned, short ones too. Menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments never count: they are known by tag, role, or words in class and id.
 
 Character references are decoded; white space inside a line becomes one blank, lines are trimmed, empty ones go, and
@@ -35,6 +36,8 @@ BLOCK = frozenset(
 )
 #: Of these, the ones that lines belong to.
 CONTAINER = frozenset("article aside blockquote body center details dialog div dl fieldset figure footer form header html main menu nav ol section table tbody td tfoot th thead tr ul".split())
+#: Of these, the ones that can hold a whole text; others are parts of one.
+WHOLE = frozenset("article body center div form html main section".split())
 NEVER = frozenset("aside button canvas dialog footer form head header iframe math menu nav noscript object script select style svg template textarea".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 HINTS = frozenset(
@@ -67,7 +70,7 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.parent, self.stack = [-1], [("", 0, False)]
+        self.parent, self.name, self.stack = [-1], [""], [("", 0, False)]
         self.noise = 0
         self.text: list[str] = []
         self.tags = 0
@@ -95,6 +98,7 @@ class Lines(HTMLParser):
             inside = self.stack[-1][1]
             if tag in CONTAINER:
                 self.parent.append(inside)
+                self.name.append(tag)
                 inside = len(self.parent) - 1
             self.stack.append((tag, inside, noise))
             self.noise += noise
@@ -137,7 +141,23 @@ def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(values, kernel)[middle] / np.convolve(np.ones(len(values)), kernel)[middle]
 
 
-def region(lines: list, parent: list[int], sigma: float = SIGMA, share: float = REGION_SHARE) -> list[str]:
+def widen(best: int, parent: list[int], name: list[str], weight: np.ndarray, noise: np.ndarray) -> int:
+    """The content element around `best`; weight and noise: the cluster's text and the lines that never count, by element with all below it."""
+    around = [best]
+    while around[-1]:
+        around.append(parent[around[-1]])
+    for tag in ("article", "main"):
+        for i in around:
+            if name[i] == tag:
+                return i
+    for i in around[1:]:
+        if name[best] in WHOLE and noise[i] > noise[best] and (name[i] in ("", "html", "body") or weight[i] <= weight[best]):
+            break
+        best = i
+    return best
+
+
+def region(lines: list, parent: list[int], name: list[str], sigma: float = SIGMA, share: float = REGION_SHARE) -> list[str]:
     """The lines of the content region."""
     able = np.array([x[3] for x in lines], bool)
     if not able.any():
@@ -151,7 +171,10 @@ def region(lines: list, parent: list[int], sigma: float = SIGMA, share: float =
     np.add.at(weight, [x[2] for x in lines], np.where(cluster, size, 0.0))
     for i in range(len(parent) - 1, 0, -1):  # children come after their parents
         weight[parent[i]] += weight[i]
-    best = max(i for i in range(len(parent)) if weight[i] >= share * weight[0])
+    noise = np.bincount([x[2] for x in lines], ~able, minlength=len(parent))
+    for i in range(len(parent) - 1, 0, -1):
+        noise[parent[i]] += noise[i]
+    best = widen(max(i for i in range(len(parent)) if weight[i] >= share * weight[0]), parent, name, weight, noise)
     inside = np.zeros(len(parent), bool)
     inside[best] = True
     for i in range(best + 1, len(parent)):
@@ -164,7 +187,7 @@ def main_text(html: str | None) -> str:
         return ""
     p = Lines()
     p.feed(html)
-    return "\n".join(region(p.done(), p.parent))
+    return "\n".join(region(p.done(), p.parent, p.name))
 
 
 def extract(df: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

@@ -161,6 +161,16 @@ def test_html(spark):
     assert [r.text for r in html_text.extract(df).orderBy("page_id").collect()] == [t for _, t in PAGES]
 
 
+@pytest.mark.parametrize("big", ["<section>{}</section>", "<ul><li>{}</ul>", "<table><tr><td>{}</table>", "<blockquote>{}</blockquote>", "<figure>{}</figure>"])
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<main><div>{}</div></main>", "<div>{}</div>", "<div><p class=share>Share</p>{}</div>"])
+def test_html_dominant_part(big, around):
+    """A part with most of the text does not push out the rest of its article."""
+    long = "Many words of a long part that go on and on. " * 40
+    inner = f"<h1>T</h1><p>intro</p>{big.format(long)}<section>The rest of the text, of some length, so that it is content too.</section>"
+    page = f"<body><nav>Menu</nav>{around.format(inner)}<footer>Foot</footer></body>"
+    assert html_text.main_text(page) == "\n".join(["T", "intro", long.strip(), "The rest of the text, of some length, so that it is content too."])
+
+
 def test_html_deep():
     assert html_text.main_text("<div>" * 3000 + "<p>deep text</p>") == "deep text"
 

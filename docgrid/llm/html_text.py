@@ -9,7 +9,8 @@ adverts, forms, scripts, styles and reader comments never count: they are known
 
 Character references are decoded; white space inside a line becomes one blank, lines are trimmed, empty ones go, and
 the rest is joined in page order by line breaks. A line break tag is white space. Null or empty html, and pages without content, give
-an empty text. Unclosed elements end with their parent. Every page is judged by itself, so repeated pages give equal results.
+an empty text. End tags that HTML lets out (of p, li, dt, dd, tr, td, th, option, head and so on) are put in; other unclosed elements end with their parent.
+Inside an article or main, headings count whatever their class and id, and an id tells furniture only if all its words do. Every page is judged by itself, so repeated pages give equal results.
 Extra columns pass through; one that has the name of the added column is replaced.
 """
 
@@ -46,17 +47,41 @@ HINTS = frozenset(
     "share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 COMMENT = frozenset("comment comments commentlist disqus reply respond".split())
+#: Words that stand beside HINTS in ids of page furniture.
+BESIDE = frozenset("area articles bar block box btn button buttons container content form icon icons inner item items left link links list main media outer panel post posts right section site top bottom wrap wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements without end tags: tag: (elements that its start ends, elements that hold these off).
+_LIST, _TABLE = frozenset("ul ol menu dl".split()), frozenset(["table"])
+ENDS = {
+    "li": (frozenset(["li"]), _LIST),
+    "dt": (frozenset(["dt", "dd"]), _LIST),
+    "dd": (frozenset(["dt", "dd"]), _LIST),
+    "td": (frozenset(["td", "th"]), _TABLE),
+    "th": (frozenset(["td", "th"]), _TABLE),
+    "tr": (frozenset(["td", "th", "tr", "caption"]), _TABLE),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), (frozenset("td th tr tbody thead tfoot caption".split()), _TABLE)),
+    "option": (frozenset(["option"]), frozenset(["select"])),
+    "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select"])),
+}
+#: These end an open p.
+ENDS_P = frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul "
+    "li dt dd td th tr tbody thead tfoot".split()
+)
+OPTIONAL = frozenset("p li dt dd option optgroup".split())
+IN_HEAD = frozenset("head html base basefont bgsound link meta noframes noscript script style template title".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
-def is_noise(tag: str, attrs: list) -> bool:
+def is_noise(tag: str, attrs: list, in_article: bool = False) -> bool:
     if tag in NEVER:
         return True
     for name, value in attrs:
         if name in ("class", "id"):
             words = {w.lower() for w in _WORD.findall(value or "")}
             if words & (COMMENT if tag in ("article", "main") else HINTS) and tag not in ("html", "body"):
-                return True
+                if not in_article or tag not in HEADINGS and (name == "class" or words <= HINTS | BESIDE):
+                    return True
         elif name == "role":
             if (value or "").lower() in ROLES:
                 return True
@@ -71,7 +96,7 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.parent, self.name, self.stack = [-1], [""], [("", 0, False)]
-        self.noise = 0
+        self.noise = self.articles = 0
         self.text: list[str] = []
         self.tags = 0
         self.lines: list[tuple[str, int, int, bool]] = []
@@ -83,9 +108,44 @@ class Lines(HTMLParser):
             self.tags = 0
         self.text.clear()
 
+    def pop(self, i: int):
+        """End the elements from the i-th of the stack on."""
+        if any(x[2] for x in self.stack[i:]):
+            self.end_line()
+        for tag, _, noise in self.stack[i:]:
+            self.noise -= noise
+            self.articles -= tag in ("article", "main")
+        del self.stack[i:]
+
+    def end_implied(self, tag: str):
+        """End what the start of `tag` ends."""
+        if self.stack[-1][0] == "head" and tag not in IN_HEAD:
+            self.pop(len(self.stack) - 1)
+        if tag in ENDS_P:
+            for i in range(len(self.stack) - 1, 0, -1):
+                if self.stack[i][0] == "p":
+                    self.end_line()
+                    self.pop(i)
+                    break
+                if self.stack[i][0] in CONTAINER or self.stack[i][0] in ("button", "object", "template", *OPTIONAL):
+                    break
+        if tag in ENDS:
+            ended, off = ENDS[tag]
+            last = 0
+            for i in range(len(self.stack) - 1, 0, -1):
+                name = self.stack[i][0]
+                if name in ended:
+                    last = i
+                elif name in off or name not in ended and name in CONTAINER and name not in ("tr", "tbody", "thead", "tfoot"):
+                    break
+            if last:
+                self.end_line()
+                self.pop(last)
+
     def handle_starttag(self, tag, attrs):
+        self.end_implied(tag)
         block = tag in BLOCK
-        noise = is_noise(tag, attrs)
+        noise = is_noise(tag, attrs, self.articles > 0)
         if block or noise:
             self.end_line()
         self.tags += 1
@@ -94,7 +154,7 @@ class Lines(HTMLParser):
             return
         if tag in ("td", "th"):
             self.text.append(" ")
-        if noise or tag in CONTAINER:
+        if noise or tag in CONTAINER or tag in OPTIONAL:
             inside = self.stack[-1][1]
             if tag in CONTAINER:
                 self.parent.append(inside)
@@ -102,6 +162,7 @@ class Lines(HTMLParser):
                 inside = len(self.parent) - 1
             self.stack.append((tag, inside, noise))
             self.noise += noise
+            self.articles += tag in ("article", "main")
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
@@ -117,11 +178,9 @@ class Lines(HTMLParser):
             self.text.append(" ")
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] == tag:
-                if any(x[2] for x in self.stack[i:]):
-                    self.end_line()
-                for _, _, noise in self.stack[i:]:
-                    self.noise -= noise
-                del self.stack[i:]
+                self.pop(i)
+                break
+            if tag in OPTIONAL and self.stack[i][0] in CONTAINER:
                 break
 
     def handle_data(self, data):

@@ -171,6 +171,25 @@ def test_html_dominant_part(big, around):
     assert html_text.main_text(page) == "\n".join(["T", "intro", long.strip(), "The rest of the text, of some length, so that it is content too."])
 
 
+IMPLIED = [
+    ("<article><p class=notice>x<p>article text<p>more</article>", "article text\nmore"),
+    ("<article><p class=ad>x<h2>Title</h2><div>text</div></article>", "Title\ntext"),
+    ("<article><ul><li class=share>x<li>one<li>two</ul></article>", "one\ntwo"),
+    ("<article><ul><li class=share>x<ul><li>y</li></ul>z<li>one</ul></article>", "one"),
+    ("<article><table><tr><td class=ad>x<td>a<tr class=promo><td>y<tr><td>b</table></article>", "a\nb"),
+    ("<article><dl><dt class=ad>x<dd>one<dt>two</dl></article>", "one\ntwo"),
+    ("<html><head><title>t</title><meta charset=utf-8><body><p>all of it</p></body>", "all of it"),
+    ("<head><title>t</title><h1>T</h1><p>all of it</p>", "T\nall of it"),
+    ("<article><h2 id='related-work'>Related work</h2><section id='social-history'><p id='reply-of-the-council'>text</p></section></article>", "Related work\ntext"),
+    ("<article><p>text</p><div id='related-posts'>x</div><section class='comments'>y</section><div class='share'>z</div></article>", "text"),
+]
+
+
+@pytest.mark.parametrize("page, text", IMPLIED)
+def test_html_implied_ends(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_html_deep():
     assert html_text.main_text("<div>" * 3000 + "<p>deep text</p>") == "deep text"
 

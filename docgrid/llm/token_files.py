@@ -1,8 +1,9 @@
 """Operator 7: token ids in Simple-8b files.
 
-Texts are encoded by the tokenizers library (each distinct word of a worker once: neither normalisation nor
-pre-splitting of this vocabulary looks across ASCII white space), an end id is appended, and the ids are written in
-ascending doc_id order, then read back.
+Texts are encoded by the tokenizers library as it stands (special tokens' strings in a text give their ids), an end id is
+appended, and the ids are written in ascending doc_id order, then read back. Whether texts may be encoded word by word is read from
+the tokenizer's file (`by_word`): if neither its normaliser nor its pre-splitting looks across ASCII white space, each distinct word of a worker
+is encoded once. With any other file whole texts go through the library.
 
 A file is a table in the shared folder. A row is a chunk of neighbouring documents: their ids, their lengths, and `data`, the
 token ids as a Simple-8b stream. A stream is cut into blocks of BLOCK ids; its head has each block's first word, so that
@@ -17,6 +18,7 @@ texts have the end id alone. An empty table gives an empty file. Extra columns a
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -142,47 +144,86 @@ _loaded: dict = {}
 #: Words of printable ASCII: normalised by lower-casing alone, and cut by the vocabulary's pattern as this one cuts them.
 _PLAIN = re.compile(rb"[!-~]+").fullmatch
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
+#: The parts of a tokenizer's file for which texts can be taken word by word, and _PARTS cuts plain words.
+BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "truncation": None,
+    "padding": None,
+}
+
+
+def by_word(spec: dict) -> bool:
+    """Does this tokenizer give a text the ids of its words, one after the other? Its added tokens must be plain strings without white space."""
+    added = spec.get("added_tokens") or []
+    plain = all(not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) and not re.search(r"\s", t["content"]) for t in added)
+    return plain and all(spec.get(k) == v for k, v in BY_WORD.items())
+
+
+class Encoder:
+    """The tokenizer of a file's bytes, and a worker's ids by word and by part of a word."""
+
+    def __init__(self, spec: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
+        self.library = Tokenizer.from_buffer(spec)
+        parsed = json.loads(spec)
+        self.by_word = by_word(parsed)
+        self.added = [t["content"].encode() for t in parsed.get("added_tokens") or []]
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
-def tokenizer(spec: bytes):
-    """The tokenizer of a file's bytes and this worker's ids by word and by part of a word."""
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The library's ids of each text, as little-endian unsigned 32-bit integers."""
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            found = self.parts[part] = np.array([x.id for x in self.library.model.tokenize(part)], "<u4").tobytes()
+        return found
+
+    def word_ids(self, words: list[bytes]) -> list[bytes]:
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+            self.parts.clear()
+        rest = []
+        for x in words:
+            if x not in self.words:
+                if _PLAIN(x) and not any(a in x for a in self.added):
+                    self.words[x] = b"".join(map(self.part, _PARTS(x.decode().lower())))
+                else:
+                    rest.append(x)
+        self.words.update(zip(rest, self.ids([x.decode("utf-8") for x in rest]), strict=True))
+        return [self.words[x] for x in words]
+
+
+def encoder(spec: bytes) -> Encoder:
+    """One per process and file."""
     key = hash(spec)
     if key not in _loaded:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_buffer(spec)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
-        _loaded[key] = t, {}, {}
+        _loaded[key] = Encoder(spec)
     return _loaded[key]
 
 
 def token_ids(texts: pa.Array, spec: bytes, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, each with its end id, and how many each has."""
-    t, cache, parts = tokenizer(spec)
-    tokenize = t.model.tokenize
-
-    def part_ids(part: str) -> bytes:
-        found = parts.get(part)
-        if found is None:
-            found = parts[part] = np.array([x.id for x in tokenize(part)], "<u4").tobytes()
-        return found
-
+    e = encoder(spec)
+    if not e.by_word:
+        end = np.array([end_id], "<u4").tobytes()
+        whole = [x + end for x in e.ids([t or "" for t in texts.to_pylist()])]
+        return np.frombuffer(b"".join(whole), "<u4"), np.array([len(x) // 4 for x in whole], np.int64)
     w = Words(texts, NON_SPACE, lower=False)
     _, first, place = np.unique(w.hash, return_index=True, return_inverse=True)
     raw = w.buf.tobytes()
-    words = [raw[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)]
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-        parts.clear()
-    new = [x for x in words if x not in cache]
-    plain = [x for x in new if _PLAIN(x)]
-    for x in plain:
-        cache[x] = b"".join(map(part_ids, _PARTS(x.decode().lower())))
-    rest = [x for x in new if x not in cache]
-    for x, e in zip(rest, t.encode_batch_fast([x.decode("utf-8") for x in rest], add_special_tokens=False), strict=True):
-        cache[x] = np.array(e.ids, "<u4").tobytes()
-    own = [cache[x] for x in words]
+    own = e.word_ids([raw[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)])
     flat = np.frombuffer(b"".join(own), "<u4")
     size = np.array([len(x) // 4 for x in own], np.int64)
     start = np.cumsum(size) - size

@@ -18,6 +18,7 @@ def corpus() -> list[tuple]:
     rows += [(30, base, "en", "s0"), (31, base, "de", None), (32, " ".join([*near[:-3], "changed", "end"]), "en", "s0"), (33, " ".join(["front", *near]), None, "s1")]
     rows += [(40, None, "en", "s0"), (41, "", "en", "s0"), (42, " \n\t ", None, "s2"), (43, "12 34 !!", "de", "s1"), (44, "one", "en", "s0"), (45, "one", "en", "s0")]
     rows += [(50, prose(7, 30_000), "en", "s0"), (51, "Привет мир, это текст. " * 30, "de", "s2"), (52, "漢字かな交じり文です。" * 20, None, "s2"), (53, "x" * 70_000, "en", "s0"), (54, "naïve café bar line \U0001f600 é", "fr", "s1")]
+    rows += [(55, "foo<|endoftext|>bar <|StartOfText|> x<|startoftext|>'ll", None, "s1")]
     rows += [(60, rows[3][1], "fr", "s0"), (60, rows[3][1], "fr", "s0"), (None, prose(5, 90), "en", "s0"), (None, None, None, None)]
     return rows
 

@@ -205,6 +205,24 @@ def test_simple8b(values, block):
         assert token_files.read_stream(data, only=k).tolist() == values[k * block :]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_token_ids(name):
+    """As the plain library call, with special tokens' strings, for files that can and cannot be read word by word."""
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        spec = f.read()
+    assert token_files.by_word(json.loads(spec)) == (name == "word_bpe_49k.json")
+    t = Tokenizer.from_buffer(spec)
+    texts = ["foo<|endoftext|>bar  it's\n\n12 <|startoftext|>", "", None, "e \u0301 cafe\u0301 \u00a0x\u2003y ABC's", prose(3, 50), "<|EndOfText|> <|endof text|>"]
+    ids, sizes = token_files.token_ids(pa.array(texts, pa.string()), spec)
+    want = [[*t.encode(x or "", add_special_tokens=False).ids, 1] for x in texts]
+    assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+
+
 def test_bands():
     bands, rows = ngram_join.choose_bands(0.8, 0.9995, 160)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9995 and bands * rows <= 160

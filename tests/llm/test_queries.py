@@ -99,7 +99,6 @@ def test_op7(spark, sf_dir, rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     found = sorted(QUERIES["op7_token_files"](spark, sf_dir[0]).collect(), key=lambda r: r.start)
     assert [r.start for r in found] == [sum(r.n_tokens for r in found[:k]) for k in range(len(found))]
     ids = [r.doc_id for r in found]

@@ -4,12 +4,13 @@ Features are TF-IDF weights of character n-grams (1 to 3, of the lower-cased tex
 characters that are not letters made one blank), hashed to `buckets`. The term frequency is the share of
 the text's n-grams, so a text's score is a mean of weights over its n-grams and whole texts of any length
 are read in bounded memory. Document frequencies are counted over all training rows. Weights are fitted by
-follow-the-regularised-leader (FTRL-proximal) with L1 and L2 penalties, on at most about `fit_per_class` training rows
-of each language (a documented bound, drawn by a hash of the text). A part of these rows, never used to fit weights,
-calibrates the softmax by one temperature.
+follow-the-regularised-leader (FTRL-proximal) with L1 and L2 penalties, on at most `per_class` distinct training texts
+of each language: those with the least hashes, so copies count once and every language has some. That is the documented bound of what
+reaches the driver: `per_class` x languages texts as n-gram shares, and at most `max_langs` languages, the most frequent ones.
+A part of these texts, never used to fit weights, calibrates the softmax by one temperature.
 
 Training rows: non-null lang, and crc32(doc_id as text) mod 3 is not 1; a null doc_id is neither held out nor learned from.
-Null texts and texts without letters are `und` with score 0. With nothing to learn from, every text is `und`.
+Null texts and texts without letters are `und` with score 0. With nothing to learn from, every text is `und`. An empty table gives no rows.
 Ties go to the first language in alphabetical order. Extra columns pass through; those
 that have the names of added columns are replaced.
 """
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +30,7 @@ from docgrid.llm.common import importable, map_text, sliced, table, without_colu
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 FIT_PER_CLASS = 600
+MAX_LANGS = 500
 TEXT_BYTES = 1 << 20
 #: Scores under this are not sure enough for the pipeline.
 MIN_SCORE = 0.4
@@ -104,11 +106,19 @@ def document_frequency(train: DataFrame, buckets: int = BUCKETS) -> tuple[np.nda
     return out, docs
 
 
-def sample_features(train: DataFrame, per_class: int, buckets: int) -> list:
-    """Rows (lang, part, buckets, shares) of at most about `per_class` texts of each language: those with the least hashes."""
-    sizes = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n_lang"))
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit(4), "text"), 11).cast("double") * F.lit(2.0**-53)
-    part = train.join(F.broadcast(sizes) if sizes.count() <= 1000 else sizes, "lang").where(unit * F.col("n_lang") < per_class).select("text", "lang")
+def sample_texts(train: DataFrame, per_class: int, max_langs: int = MAX_LANGS) -> DataFrame:
+    """(text, lang): of each language the `per_class` distinct texts with the least hashes. Hashes are made distinct before they are ranked, so a text with many copies is one row; a window's rank limit is applied before its shuffle too."""
+    hashed = train.select("lang", F.xxhash64(F.lit(4), "text").alias("h"), "text")
+    langs = hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_langs).select("lang")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    least = hashed.select("lang", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= per_class).drop("rank")
+    chosen = F.broadcast(least.join(F.broadcast(langs), "lang"))  # per_class x max_langs rows at most
+    return hashed.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("text", "lang")
+
+
+def sample_features(train: DataFrame, per_class: int, buckets: int, max_langs: int = MAX_LANGS) -> list:
+    """Rows (lang, buckets, shares) of sample_texts, in an order that depends on nothing but them."""
+    part = sample_texts(train, per_class, max_langs)
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []

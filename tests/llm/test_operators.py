@@ -137,6 +137,60 @@ def test_langid(spark):
     assert langid.identify(["", None, "123"], model)[0] == ["und"] * 3
 
 
+def test_langid_sample_is_bounded(spark):
+    """Copies of a text count once: what reaches the driver stays within per_class of each language, and rare languages are there."""
+    rows = [(f"text number {i} of many", "en") for i in range(800)] + [("the same text again", "en")] * 4000 + [("ein seltener text", "de")] * 50
+    train = spark.createDataFrame(rows, "text string, lang string").repartition(8)
+    found = Counter(r.lang for r in langid.sample_texts(train, 60).collect())
+    assert found == {"en": 60, "de": 1}
+    assert len(langid.sample_features(train, 60, 1 << 12)) == 61
+    assert Counter(r.lang for r in langid.sample_texts(train, 60, max_langs=1).collect()) == {"en": 60}
+
+
+def test_ftrl_by_hand():
+    """Weights as the update rule gives them, one coordinate after the other."""
+    rng = np.random.default_rng(3)
+    langs, buckets, idf = ["a", "b", "c"], 12, np.linspace(1, 2, 12)
+    rows = [(langs[i % 3], np.sort(rng.choice(12, 4, replace=False)), rng.random(4)) for i in range(15)]
+    w, b = langid.ftrl(rows, langs, buckets, idf, alpha=0.5, beta=1.0, l1=0.3, l2=0.5, epochs=2, seed=7)
+    z, n = np.zeros((13, 3)), np.zeros((13, 3))
+
+    def weight(i, k):
+        return 0.0 if abs(z[i, k]) <= 0.3 else -(z[i, k] - np.sign(z[i, k]) * 0.3) / ((1.0 + n[i, k] ** 0.5) / 0.5 + 0.5)
+
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for r in order.permutation(15):
+            lang, at, share = rows[r]
+            x = {**{int(i): float(v * idf[i]) for i, v in zip(at, share, strict=True)}, 12: 1.0}
+            now = {(i, k): weight(i, k) for i in x for k in range(3)}
+            score = [sum(x[i] * now[i, k] for i in x) for k in range(3)]
+            total = sum(np.exp(v) for v in score)
+            for (i, k), old in now.items():
+                g = (np.exp(score[k]) / total - (langs[k] == lang)) * x[i]
+                z[i, k] += g - ((n[i, k] + g * g) ** 0.5 - n[i, k] ** 0.5) / 0.5 * old
+                n[i, k] += g * g
+    want = np.array([[weight(i, k) for k in range(3)] for i in range(13)])
+    assert np.allclose(want[:-1], w) and np.allclose(want[-1], b) and (w == 0).any()
+
+
+def test_langid_held_out(spark, tmp_path):
+    """The query's accuracy on documents that it has not learned from."""
+    import zlib
+
+    from docgrid.llm.queries import QUERIES
+
+    texts = {"en": "the river runs under the old stone bridge and the people watch it", "de": "der wald steht schwarz und schweiget und aus den wiesen steiget", "fr": "le ciel est bleu et les oiseaux chantent dans la foret profonde", "es": "la casa es grande y el camino sube por la montana hasta el pueblo"}
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choices(texts[g].split(), k=rng.randrange(6, 60))), g) for i in range(800) for g in [list(texts)[i % 4]]]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    truth = {i: g for i, _, g in rows}
+    out = QUERIES["op4_langid"](spark, str(tmp_path)).collect()
+    held = [r for r in out if r.held_out]
+    assert {r.doc_id for r in held} == {i for i in truth if zlib.crc32(str(i).encode()) % 3 == 1}
+    assert np.mean([truth[r.doc_id] == r.lang_pred for r in held]) >= 0.98
+
+
 def test_interleave_mixture(spark):
     rows = [(i, "t" * (i % 5), "big" if i % 3 else f"s{i % 7}") for i in range(2000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import string
+
 from docgrid.llm.bpe import op2_byte_bpe
 from docgrid.llm.decontaminate import op10_decontaminate
 from docgrid.llm.fertility import op1_fertility
@@ -27,6 +30,8 @@ QUERIES = {
 }
 
 _ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("'", "''")
+#: Runs of one character are spelled out: this engine's patterns cannot refer back.
+_PART = "(?i:example|placeholder|changeme|your[_-])|" + "|".join(re.escape(c) + "{8,}" for c in string.ascii_letters + string.digits + "+/_=-")
 #: Spans of a pattern: what lies between its matches, and the matches, give their places.
 _OP3 = (
     r"""
@@ -38,15 +43,15 @@ kept AS (
   SELECT r, kind, rank, kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + length(v) AS BIGINT) AS s, a FROM spans
   WHERE (kind = 'assign' AND length(regexp_extract(v, '@ASSIGN', 2)) >= 6) OR (kind = 'access' AND length(v) >= 20) OR (kind = 'hex' AND length(v) >= 24)
      OR (kind = 'entropy' AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
-         AND NOT regexp_matches(v, '(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$') AND NOT regexp_matches(v, '(?i)example|placeholder|changeme|your[_-]')
+         AND NOT regexp_matches(v, '(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$') AND NOT regexp_matches(v, '^.{1,33}EXAMPLE(?:KEY)?$')
          AND NOT regexp_matches(v, '^/?(?:[A-Za-z_-]{2,}/)+[A-Za-z_-]*$') AND NOT starts_with(v, 'sha256-') AND NOT starts_with(v, 'sha512-')
-         AND len(list_filter(range(1, length(v) - 6), lambda i: substr(v, i, 8) = repeat(substr(v, i, 1), 8))) = 0
-         AND list_max(list_transform(range(1, length(v) - 18), lambda i: list_aggregate(string_split(substr(v, i, 20), ''), 'entropy'))) >= CASE WHEN regexp_matches(v, '^[0-9a-fA-F]+$') THEN 3.0 ELSE 3.6 END)),
+         AND list_max(list_transform(flatten(list_transform(string_split_regex(v, '@PART'), lambda p: list_transform(range(1, length(p) - 18), lambda i: substr(p, i, 20)))), lambda w: list_aggregate(string_split(w, ''), 'entropy')))
+             >= CASE WHEN regexp_matches(v, '^[0-9a-fA-F]+$') THEN 3.0 WHEN regexp_matches(v, '^[A-Z2-7]+=*$') THEN 3.3 ELSE 3.6 END)),
 per AS (SELECT r, count_if(kind = 'assign') AS n_assign, count_if(kind = 'access') AS n_access, count_if(kind = 'hex') AS n_hex, count_if(kind = 'entropy') AS n_entropy,
   string_agg(s, ',' ORDER BY a, rank) FILTER (WHERE kind <> 'entropy') AS base, string_agg(s, ',' ORDER BY a, rank) AS spans FROM kept GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_entropy, 0) AS n_entropy
 FROM texts LEFT JOIN per ON texts.r = per.r"""
-).replace("@ASSIGN", _ASSIGN)
+).replace("@ASSIGN", _ASSIGN).replace("@PART", _PART)
 
 _TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _OP10 = f"""

@@ -1,87 +1,114 @@
 """Operator 3: secret scans, with DataFrame functions only.
 
 Base spans come from three patterns (assign, access, hex), leftmost and non-overlapping per kind. The method
-adds `entropy` spans: candidate strings are runs of at least `window` characters of a base64 or hex alphabet.
-Each candidate belongs to a character class (hex, or base64) with a threshold of its own. A window
-slides over the candidate; its Shannon entropy is kept up to date from the counts of the characters that come in and
-go out: with n log2 n summed over the counts, a step changes two terms. The span is the candidate, if its best window
-reaches the class's threshold and it holds letters and digits. Allow-listed candidates are suppressed:
-UUID-like, paths and URLs, example keys, long runs of one character. Base spans are never suppressed.
-
-Positions are code points, ends exclusive. Null and empty texts have no spans. Each row is judged by itself;
+adds `entropy` spans: candidate strings are runs of at least `window` characters of a base64 alphabet.
+Each candidate belongs to a character class (hex, base32 or base64) with a threshold of its own. A window slides over the
+candidate; the sum of n log2 n over its counts is kept up to date from the count of the character that comes in and of the one that
+goes out, in whole numbers, so it does not drift. The span is the candidate, if it holds letters and digits and the best of its windows reaches the class's threshold.
+
+Allow-list: a candidate that is as a whole a UUID, a path of words, digits and dashes, a published checksum or a documentation key is
+suppressed (ALLOW). Words like `example` and runs of one character suppress only the windows that overlap them (ALLOW_PART): windows slide over the
+pieces between, so a key joined to such a part is still found. Base spans are never suppressed.
+
+Positions are code points, ends exclusive. Null and empty texts have no spans; an empty table gives no rows. Texts of any length are scanned whole: folds
+over matches go in blocks, so their cost is about linear in the number of matches. Each row is judged by itself;
 ties (kinds that start together) are ordered assign, access, hex, entropy. Extra columns pass through; one with the name
 of the added column is replaced.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from itertools import pairwise
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgrid.llm.common import free_name, table
 
-#: Kind: (pattern, group whose length counts, least length). Fixed by the contract.
+#: Kind: (pattern, group whose length counts, least length). Fixed by the contract; a look at the first letter spares the alternatives at most places.
 BASE = {
-    "assign": (r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
+    "assign": (r"""(?=[AaPpSsTt])(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
     "hex": (r"[0-9a-f]{24,}", 0, 24),
 }
 WINDOW = 20
-CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}"
 #: Class: (pattern of the whole candidate, least entropy of a window in bits). The first that fits holds.
-CLASSES = {"hex": (r"^[0-9a-fA-F]+$", 3.0), "base64": (r"^[A-Za-z0-9+/_=-]+$", 3.6)}
+CLASSES = {"hex": (r"^[0-9a-fA-F]+$", 3.0), "base32": (r"^[A-Z2-7]+=*$", 3.3), "base64": (r"^[A-Za-z0-9+/_=-]+$", 3.6)}
 #: Candidates that match any of these are not secrets.
 ALLOW = (
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"(?i)example|placeholder|changeme|your[_-]",
-    r"(.)\1{7}",
+    r"^.{1,33}EXAMPLE(?:KEY)?$",
     r"^/?(?:[A-Za-z_-]{2,}/)+[A-Za-z_-]*$",
     r"^[0-9-]+$",
     r"^sha(?:256|512)-",
 )
+#: Windows that overlap a match of this do not count.
+ALLOW_PART = r"(?i:example|placeholder|changeme|your[_-])|(.)\1{7,}"
+#: Matches in a block of a fold.
+BLOCK = 64
+#: Entropy sums are whole numbers of this part of a bit.
+UNIT = 1 << 32
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value evaluated once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def blocks(items: Column) -> Column:
+    """An array, not empty, cut into arrays of BLOCK."""
+    return let(items, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda k: F.slice(x, k * BLOCK + 1, F.lit(BLOCK))))
 
 
 def matches(text: Column, pattern: str) -> Column:
     """Array of (start, end, value) of a pattern's leftmost non-overlapping matches. It never matches nothing."""
-    gaps = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.arrays_zip(F.transform(gaps, lambda g: F.char_length(g)).alias("gap"), found.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.char_length(g))
+    steps = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("value")), lambda x: x["value"].isNotNull())
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
         end = begin + F.char_length(x["value"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
 
-    whole = F.aggregate(F.filter(steps, lambda x: x["value"].isNotNull()), start, step)["out"]
-    return F.when(F.size(found) > 0, whole).otherwise(start["out"])
+    def block(acc: Column, of: Column) -> Column:
+        inner = F.aggregate(of, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return let(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int,value:string>>>").alias("out"))
+    whole = F.flatten(F.aggregate(blocks(steps), start, block)["out"])
+    return F.when(F.size(found) > 0, whole).otherwise(none)
 
 
 def window_entropy(value: Column, window: int) -> Column:
-    """Largest Shannon entropy, in bits, of the windows of a string: counts change by one character in and one out."""
-    chars = F.transform(F.split(value, ""), lambda c: F.ascii(c))
+    """Largest Shannon entropy, in bits, of a string's windows; null if it is shorter than one. The window moves by one character out and one in."""
+    terms = [round(UNIT * n * math.log2(n)) if n else 0 for n in range(window + 1)]
+    grows = F.array(*(F.lit(b - a) for a, b in pairwise(terms)))  # by count before
+
+    def count(s: Column, c: Column) -> Column:
+        return F.char_length(s) - F.char_length(F.replace(s, c))
+
+    def step(acc: Column, c: Column) -> Column:
+        full = F.char_length(acc["window"]) == window
+        rest = F.when(full, F.substring(acc["window"], 2, window - 1)).otherwise(acc["window"])
 
-    def term(n: Column) -> Column:
-        return F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
+        def moved(rest: Column) -> Column:
+            left = F.when(full, acc["sum"] - F.get(grows, count(rest, F.substring(acc["window"], 1, 1)))).otherwise(acc["sum"])
+            return F.struct(F.concat(rest, c).alias("window"), (left + F.get(grows, count(rest, c))).alias("sum"))
 
-    def put(counts: Column, c: Column, by: int) -> Column:
-        return F.transform(counts, lambda n, i: F.when(i == c, n + by).otherwise(n))
+        def better(m: Column) -> Column:
+            least = F.when(F.char_length(m["window"]) == window, F.least(acc["least"], m["sum"])).otherwise(acc["least"])
+            return F.struct(m["window"].alias("window"), m["sum"].alias("sum"), least.alias("least"))
 
-    def step(acc: Column, i: Column) -> Column:
-        new = F.get(chars, i)
-        old = F.get(chars, i - window)
-        seen = F.get(acc["counts"], new)
-        grown = put(acc["counts"], new, 1)
-        more = acc["sum"] + term(seen + 1) - term(seen)
-        leaving = F.get(grown, old)
-        full = i >= window
-        counts = F.when(full, put(grown, old, -1)).otherwise(grown)
-        total = F.when(full, more + term(leaving - 1) - term(leaving)).otherwise(more)
-        best = F.when(i >= window - 1, F.greatest(acc["best"], F.log2(F.lit(float(window))) - total / window)).otherwise(acc["best"])
-        return F.struct(counts.alias("counts"), total.alias("sum"), best.alias("best"))
+        return let(let(rest, moved), better)
 
-    zero = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(0), F.char_length(value) - 1), zero, step)["best"]
+    zero = F.struct(F.lit("").alias("window"), F.lit(0).cast("long").alias("sum"), F.lit(None).cast("long").alias("least"))
+    least = F.aggregate(F.filter(F.split(value, ""), lambda c: c != ""), zero, step)["least"]
+    return F.lit(math.log2(window)) - least / (window * UNIT)
 
 
 def entropy_spans(text: Column, window: int) -> Column:
@@ -93,7 +120,9 @@ def entropy_spans(text: Column, window: int) -> Column:
         fits = v.rlike("[0-9]") & v.rlike("[A-Za-z]")
         for pattern in ALLOW:
             fits = fits & ~v.rlike(pattern)
-        return F.when(fits, window_entropy(v, window) >= least).otherwise(F.lit(False))
+        pieces = F.filter(F.split(v, ALLOW_PART), lambda p: F.char_length(p) >= window)
+        best = F.array_max(F.transform(pieces, lambda p: window_entropy(p, window)))
+        return F.when(fits, F.coalesce(best >= least, F.lit(False))).otherwise(F.lit(False))
 
     return F.filter(matches(text, CANDIDATE % window), secret)
 
@@ -128,15 +157,26 @@ def span_list(spans: Column) -> Column:
 
 def redact(df: DataFrame, text: str = "text", secrets: str = "secrets", mark: str = "[SECRET]") -> Column:
     """The text with every span replaced by a mark; spans that overlap or touch become one."""
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("any"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = (x["start"] > acc["at"]) | ~acc["any"]
-        before = F.substring(F.col(text), acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.lit(True).alias("any"), F.when(new, F.concat(acc["out"], before, F.lit(mark))).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate(F.col(secrets), start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.char_length(F.col(text)))))
-    return F.when(F.size(secrets) > 0, done).otherwise(F.col(text))
+    whole = F.col(text)
+    state = "struct<at:int,any:boolean,out:%s>"
+
+    def block(acc: Column, of: Column) -> Column:
+        """The part of the text up to the block's last end, done on that part alone."""
+        first = acc["at"]
+        part = F.substring(whole, first + 1, F.greatest(F.array_max(F.transform(of, lambda x: x["end"])) - first, F.lit(0)))
+
+        def step(a: Column, x: Column) -> Column:
+            new = (x["start"] > a["at"]) | ~a["any"]
+            before = F.substring(a["part"], a["at"] - first + 1, F.greatest(x["start"] - a["at"], F.lit(0)))
+            out = F.when(new, F.concat(a["out"], before, F.lit(mark))).otherwise(a["out"])
+            return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.lit(True).alias("any"), out.alias("out"), a["part"].alias("part"))
+
+        inner = F.aggregate(of, F.struct(first.alias("at"), acc["any"].alias("any"), F.lit("").alias("out"), part.alias("part")), step)
+        return let(inner, lambda x: F.struct(x["at"].alias("at"), x["any"].alias("any"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    start = F.struct(F.lit(0), F.lit(False), F.array().cast("array<string>")).cast(state % "array<string>")
+    done = F.aggregate(blocks(F.col(secrets)), start, block, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(whole, acc["at"] + 1, F.char_length(whole))))
+    return F.when(F.size(secrets) > 0, done).otherwise(whole)
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

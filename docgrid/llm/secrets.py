@@ -47,20 +47,31 @@ ALLOW = (
 )
 #: Windows that overlap a match of this do not count.
 ALLOW_PART = r"(?i:example|placeholder|changeme|your[_-])|(.)\1{7,}"
-#: Matches in a block of a fold.
-BLOCK = 64
+#: Matches, and spans to replace, in a block of a fold: a fold copies what it has gathered at each step.
+BLOCK, REDACT_BLOCK = 32, 1024
 #: Entropy sums are whole numbers of this part of a bit.
 UNIT = 1 << 32
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value), with the value evaluated once."""
+    """f(value), with the value evaluated once. It is copied: only for small ones."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def blocks(items: Column) -> Column:
-    """An array, not empty, cut into arrays of BLOCK."""
-    return let(items, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda k: F.slice(x, k * BLOCK + 1, F.lit(BLOCK))))
+def cut(items: Column, size: int) -> Column:
+    """An array, not empty, cut into arrays of `size`."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / size).cast("int")), lambda k: F.slice(items, k * size + 1, F.lit(size)))
+
+
+def blocks(items: Column, size: int) -> Column:
+    """An array, not empty, cut into arrays of `size`. In two steps: a slice walks over all of the array that it is taken from."""
+    return F.flatten(F.transform(let(items, lambda x: cut(x, size * 64)), lambda part: cut(part, size)))
+
+
+def before(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array of numbers, what `add` makes of those before it, from 0 on."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(values, start, lambda acc, v: F.struct(add(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -75,13 +86,12 @@ def matches(text: Column, pattern: str) -> Column:
         end = begin + F.char_length(x["value"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
 
-    def block(acc: Column, of: Column) -> Column:
-        inner = F.aggregate(of, F.struct(acc["at"].alias("at"), none.alias("out")), step)
-        return let(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+    def whole(cuts: Column) -> Column:
+        length = F.transform(cuts, lambda of: F.aggregate(of, F.lit(0), lambda n, x: n + x["gap"] + F.char_length(x["value"])))
+        starts = before(length, lambda at, n: at + n)
+        return F.flatten(F.zip_with(cuts, starts, lambda of, at: F.aggregate(of, F.struct(at.alias("at"), none.alias("out")), step)["out"]))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int,value:string>>>").alias("out"))
-    whole = F.flatten(F.aggregate(blocks(steps), start, block)["out"])
-    return F.when(F.size(found) > 0, whole).otherwise(none)
+    return F.when(F.size(found) > 0, let(blocks(steps, BLOCK), whole)).otherwise(none)
 
 
 def window_entropy(value: Column, window: int) -> Column:
@@ -158,25 +168,26 @@ def span_list(spans: Column) -> Column:
 def redact(df: DataFrame, text: str = "text", secrets: str = "secrets", mark: str = "[SECRET]") -> Column:
     """The text with every span replaced by a mark; spans that overlap or touch become one."""
     whole = F.col(text)
-    state = "struct<at:int,any:boolean,out:%s>"
 
-    def block(acc: Column, of: Column) -> Column:
-        """The part of the text up to the block's last end, done on that part alone."""
-        first = acc["at"]
-        part = F.substring(whole, first + 1, F.greatest(F.array_max(F.transform(of, lambda x: x["end"])) - first, F.lit(0)))
+    def step(a: Column, x: Column) -> Column:
+        new = (x["start"] > a["at"]) | ~a["any"]
+        kept = F.substring(a["part"], a["at"] - a["first"] + 1, F.greatest(x["start"] - a["at"], F.lit(0)))
+        out = F.when(new, F.concat(a["out"], kept, F.lit(mark))).otherwise(a["out"])
+        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.lit(True).alias("any"), out.alias("out"), a["first"].alias("first"), a["part"].alias("part"))
+
+    def replaced(of: Column, first: Column) -> Column:
+        """The text from `first` to the block's last end, done on that part alone."""
+        part = F.substring(whole, first + 1, F.greatest(last(of) - first, F.lit(0)))
+        return F.aggregate(of, F.struct(first.alias("at"), (first > 0).alias("any"), F.lit("").alias("out"), first.alias("first"), part.alias("part")), step)["out"]
 
-        def step(a: Column, x: Column) -> Column:
-            new = (x["start"] > a["at"]) | ~a["any"]
-            before = F.substring(a["part"], a["at"] - first + 1, F.greatest(x["start"] - a["at"], F.lit(0)))
-            out = F.when(new, F.concat(a["out"], before, F.lit(mark))).otherwise(a["out"])
-            return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.lit(True).alias("any"), out.alias("out"), a["part"].alias("part"))
+    def last(of: Column) -> Column:
+        return F.array_max(F.transform(of, lambda x: x["end"]))
 
-        inner = F.aggregate(of, F.struct(first.alias("at"), acc["any"].alias("any"), F.lit("").alias("out"), part.alias("part")), step)
-        return let(inner, lambda x: F.struct(x["at"].alias("at"), x["any"].alias("any"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+    def joined(cuts: Column) -> Column:
+        return F.array_join(F.zip_with(cuts, before(F.transform(cuts, last), F.greatest), replaced), "")
 
-    start = F.struct(F.lit(0), F.lit(False), F.array().cast("array<string>")).cast(state % "array<string>")
-    done = F.aggregate(blocks(F.col(secrets)), start, block, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(whole, acc["at"] + 1, F.char_length(whole))))
-    return F.when(F.size(secrets) > 0, done).otherwise(whole)
+    tail = F.substring(whole, last(F.col(secrets)) + 1, F.char_length(whole))
+    return F.when(F.size(secrets) > 0, F.concat(let(blocks(F.col(secrets), REDACT_BLOCK), joined), tail)).otherwise(whole)
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

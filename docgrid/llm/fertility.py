@@ -1,37 +1,47 @@
 """Operator 1: quality rules from tokeniser fertility.
 
 A public SentencePiece vocabulary with byte fallback splits each word of a text. Per text this gives characters
-per token, the share of byte-fallback tokens, and the Shannon entropy (bits) of its token ids. Each script has bands
-for them; a text outside the band of its main script is rejected. A second vocabulary, byte-level BPE for many languages, splits
-the lower-cased words without ASCII signs and digits: letters per token of it have a floor per script (FLOORS), between random letters and prose. Base counts of words, symbols and
-repetition go with them, and texts that fail the base rules are not kept either.
-
-Words are `[^\\x20\\x09-\\x0D]+` of the whole text. A word's tokens are those that it has after a blank, so each
-distinct word of a batch is split once. The main script is the one with the most letters (of equal ones the first in
+per token, the share of byte-fallback tokens, and the Shannon entropy (bits) of its token ids. A second vocabulary, byte-level BPE for many
+languages, splits the lower-cased words without ASCII signs and digits and gives letters per token. Base counts of words, symbols and
+repetition go with them, and texts that fail the base rules are not kept.
+
+Bands are fitted to the corpus: of all texts that pass the base rules, by script, language label and length class (doublings of the number of tokens, as
+short texts scatter more), each measure's quartiles are read from counts of its values in steps, summed in Spark over all rows. A band reaches
+from the median WIDTH robust deviations down and up (each side by its own quartile, and no less than LEAST_SPREAD). A group of fewer than LEAST_GROUP texts has the
+band of its language, else of its script. Beside them hold the fixed bands of the script (BANDS, FLOORS), which stand alone where there is too little to
+fit; their least entropy grows with the logarithm of the number of tokens up to FULL_TOKENS. A text outside a band is rejected.
+
+Words are `[^\\x20\\x09-\\x0D]+` of the whole text. A word's tokens are those that it has after one blank, so white space itself never counts as a token and each
+distinct word of a batch is split once, however long the text. The main script is the one with the most letters (of equal ones the first in
 SCRIPTS); a text without letters has the script `none`. Null and empty texts have no words: all counts are 0,
-the measures null, and they fail the base rules. Entropy is held against its band from MIN_TOKENS tokens on. Every row is judged by itself, so
-repeated rows and ties give equal results. Extra columns pass through; those that have the
+the measures null, and they fail the base rules. Null labels are a language of their own. Every row is judged by itself, so
+repeated rows and ties give equal results; an empty table gives none. Extra columns pass through; those that have the
 names of MEASURES are replaced.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import and_
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docgrid.llm import bpe
-from docgrid.llm.common import importable, sliced, table, without_columns
+from docgrid.llm.common import free_name, importable, materialise, sliced, table, without_columns
 from docgrid.llm.words import NON_SPACE, Words, mix, ngram_hash
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-MIN_TOKENS = 200
+FULL_TOKENS = 200
+#: Fitted bands: robust deviations to each side, fewest texts of a group.
+WIDTH, LEAST_GROUP = 8.0, 100
+#: Fitted measures: (step in which values are counted, least deviation).
+FITTED = {"chars_per_token": (0.005, 0.04), "byte_share": (0.002, 0.02), "token_entropy": (0.01, 0.1), "letters_per_token": (0.005, 0.04)}
 #: Bytes of text at a time: the more, the fewer words are split twice.
 CHUNK_BYTES = 2 << 20
 #: Script: ranges of code points.
@@ -178,7 +188,7 @@ def wide_measures(w: Words, ranks: bytes):
 
 
 def measure(texts: pa.Array, model: bytes, ranks: bytes, bands: dict = BANDS, other: tuple = OTHER_BAND, floors: dict = FLOORS) -> list[pa.Array]:
-    """The columns of MEASURES."""
+    """The columns of MEASURES; kept says whether the base rules and the fixed bands hold."""
     w = Words(texts, NON_SPACE, lower=False)
     words = w.counts()
     strings = [t or "" for t in texts.to_pylist()]
@@ -192,7 +202,8 @@ def measure(texts: pa.Array, model: bytes, ranks: bytes, bands: dict = BANDS, ot
     some = tokens > 0
     per_token, share = chars / np.maximum(tokens, 1), in_bytes / np.maximum(tokens, 1)
     low, high, most, least = (np.array(x) for x in zip(*[bands.get(s, other) for s in scripts], strict=True))
-    fits = (per_token >= low) & (per_token <= high) & (share <= most) & ((entropy >= least) | (tokens < MIN_TOKENS))
+    least = least * np.minimum(1.0, np.log2(np.maximum(tokens, 1)) / np.log2(FULL_TOKENS))
+    fits = (per_token >= low) & (per_token <= high) & (share <= most) & (entropy >= least)
     letters_per_token = letters / np.maximum(wide, 1)
     fits &= letters_per_token >= np.array([floors.get(s, 0.0) for s in scripts])
     doubles = [*(pa.array(x, pa.float64(), mask=~some) for x in (per_token, share, entropy)), pa.array(letters_per_token, pa.float64(), mask=wide == 0)]
@@ -200,25 +211,76 @@ def measure(texts: pa.Array, model: bytes, ranks: bytes, bands: dict = BANDS, ot
     return [*counts, pa.array(failed), pa.array(~failed & fits & some), pa.array(scripts, pa.string()), pa.array(tokens, pa.int64()), *doubles]
 
 
-def judge(df: DataFrame, text: str = "text", model: str | None = None, bands: dict = BANDS, other: tuple = OTHER_BAND, ranks: str | None = None, floors: dict = FLOORS) -> DataFrame:
-    """Add the columns of MEASURES to every row."""
+def measured(df: DataFrame, text: str = "text", model: str | None = None, bands: dict = BANDS, other: tuple = OTHER_BAND, ranks: str | None = None, floors: dict = FLOORS, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Add the columns of MEASURES to every row, `kept` by the base rules and the fixed bands; leave out columns in `drop`."""
     importable(df.sparkSession)
     df = without_columns(df, *MEASURES)
+    left = [f for f in df.schema.fields if f.name not in drop]
     with open(model or public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
         sent = df.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file
     with open(ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
         wide = df.sparkSession.sparkContext.broadcast(f.read())
+    names = [f.name for f in left]
 
     def run(batches):
         for part in sliced(batches, text, CHUNK_BYTES):
             made = measure(part.column(part.schema.get_field_index(text)), sent.value, wide.value, bands, other, floors)
-            yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *MEASURES])
+            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), *made], names=[*names, *MEASURES])
 
     types = {"long": T.LongType(), "boolean": T.BooleanType(), "string": T.StringType(), "double": T.DoubleType()}
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(k, types[v]) for k, v in MEASURES.items())]))
+    return df.mapInArrow(run, T.StructType([*left, *(T.StructField(k, types[v]) for k, v in MEASURES.items())]))
+
+
+def length_class() -> Column:
+    return F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int")
+
+
+def fit_bands(rows: DataFrame, lang: Column, width: float = WIDTH, least_group: int = LEAST_GROUP) -> DataFrame:
+    """of_script, of_lang, of_class, n (texts of the group that the band is from), and for each of FITTED low_ and high_: one row for each group that has a band."""
+    values = F.array(*(F.struct(F.lit(m).alias("m"), F.round(F.col(m) / step).cast("long").alias("v")) for m, (step, _) in FITTED.items()))
+    good = rows.where(~F.col("base_failed") & (F.col("n_tokens") > 0))
+    keyed = good.select(F.col("script").alias("of_script"), lang.alias("of_lang"), length_class().alias("of_class"), F.explode(values).alias("x"))
+    keys = ["of_script", "of_lang", "of_class"]
+    counted = materialise(keyed.where("x.v is not null").groupBy(*keys, "x.m", "x.v").agg(F.count(F.lit(1)).alias("n")), "fertility-counts")
+
+    def level(name: str, by: list[str]) -> DataFrame:
+        """By group: low and high of each measure, where the group is large enough."""
+        c = counted.groupBy(*by, "m", "v").agg(F.sum("n").alias("n"))
+        w = Window.partitionBy(*by, "m")
+        c = c.withColumn("all", F.sum("n").over(w)).withColumn("upto", F.sum("n").over(w.orderBy("v"))).where(F.col("all") >= least_group)
+        quarter = [F.min(F.when(4 * F.col("upto") >= k * F.col("all"), F.col("v"))).alias(f"q{k}") for k in (1, 2, 3)]
+        q = c.groupBy(*by, "m").agg(*quarter, F.first("all").alias("all"))
+        step, least = (F.element_at(F.create_map(*(x for m, v in FITTED.items() for x in (F.lit(m), F.lit(v[i])))), F.col("m")) for i in (0, 1))
+        sides = [F.greatest((F.col(a) - F.col(b)) * step / 0.6745, least) * width for a, b in (("q2", "q1"), ("q3", "q2"))]
+        q = q.select(*by, "m", "all", (F.col("q2") * step - sides[0]).alias("low"), (F.col("q2") * step + sides[1]).alias("high"))
+        one = [F.max(F.when(F.col("m") == m, F.struct(*(F.col(x) for x in ("low", "high", "all"))))).alias(f"{name}_{m}") for m in FITTED]
+        return q.groupBy(*by).agg(*one)
+
+    groups = counted.select(*keys).distinct()
+    for name, by in (("a", keys), ("b", keys[:2]), ("c", keys[:1])):
+        found = level(name, by)
+        found = found.select(*(F.col(k).alias(f"{name}_{k}") for k in by), *(f"{name}_{m}" for m in FITTED))
+        on = [F.col(k).eqNullSafe(F.col(f"{name}_{k}")) for k in by]
+        groups = groups.join(found, reduce(and_, on), "left")
+    best = {m: F.coalesce(*(F.col(f"{x}_{m}") for x in "abc")) for m in FITTED}
+    return materialise(groups.select(*keys, *(c[x].alias(f"{x}_{m}") for m, c in best.items() for x in ("low", "high"))), "fertility-bands")
+
+
+def judge(df: DataFrame, text: str = "text", lang: str | None = "lang", drop: tuple[str, ...] = (), width: float = WIDTH, least_group: int = LEAST_GROUP, **fixed) -> DataFrame:
+    """Add the columns of MEASURES to every row, with the verdict in `kept`; leave out columns in `drop`."""
+    label = next((c for c in df.columns if lang and c.lower() == lang.lower()), None)
+    rows = materialise(measured(df, text, drop=drop, **fixed), "fertility", "zstd")
+    own = F.col(f"`{label}`").cast("string") if label in rows.columns else F.lit(None).cast("string")
+    k = free_name(rows, "band")
+    bands = fit_bands(rows, own, width, least_group).select(F.struct("*").alias(k))  # a row per script, language and length class
+    band = F.col(k)
+    key = F.col("script").eqNullSafe(band["of_script"]) & own.eqNullSafe(band["of_lang"]) & length_class().eqNullSafe(band["of_class"])
+    fits = F.lit(True)
+    for m in FITTED:
+        fits = fits & F.coalesce((F.col(m) >= band[f"low_{m}"]) & (F.col(m) <= band[f"high_{m}"]), F.lit(True))
+    return rows.join(bands, key, "left").withColumn("kept", F.col("kept") & fits).drop(k)
 
 
 def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality measures of every text of documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return judge(docs).drop("text")
+    return judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), drop=("text",)).drop("lang")

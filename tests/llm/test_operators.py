@@ -36,7 +36,7 @@ def test_fertility_bands(spark):
     noise = " ".join("".join(chr(rng.randrange(0x1F300, 0x1F5FF)) for _ in range(6)) + "ab" for _ in range(80))
     dull = " ".join(["aa", "bb", "cc"] * 100)
     good = prose(3, 200)
-    out = fertility.judge(spark.createDataFrame([(1, noise), (2, dull), (3, good)], "doc_id long, text string")).collect()
+    out = fertility.judge(spark.createDataFrame([(1, noise), (2, dull), (3, good)], "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r.kept for r in out] == [False, False, True]
     assert out[0].byte_share > 0.5 and out[2].byte_share == 0 and out[0].script == "latin"
     none = fertility.judge(spark.createDataFrame([(None, 1)], "text string, KEPT int")).collect()[0]
@@ -68,7 +68,24 @@ def test_fertility_noise(spark):
     rows += [("prose " + k, " ".join(rng.sample(t.split() * 5, len(t.split()) * 5))) for k, t in PROSE.items()]
     out = fertility.judge(spark.createDataFrame(rows, "name string, text string")).collect()
     assert not any(r.base_failed for r in out)
-    assert [r.name for r in out if r.kept] == ["prose " + k for k in PROSE]
+    assert sorted(r.name for r in out if r.kept) == sorted("prose " + k for k in PROSE)
+
+
+def test_fitted_bands(spark):
+    """Bands come from the corpus: what is unlike the rest of its language is rejected though the script's fixed bands hold, and quartiles are those of brute force."""
+    rng = random.Random(3)
+    words = {"en": PROSE["latin"].split(), "x": "wordlike tokens running together becoming increasingly unmistakable throughout neighbouring districts".split()}
+    rows = [(i, " ".join(rng.choices(words[g], k=rng.randrange(60, 90)) + [f"n{rng.randrange(10**6)}" for _ in range(30)]), g) for i in range(300) for g in ("en", "x")]
+    odd = [(1000, rows[1][1], "en"), (1001, rows[0][1], "x"), (1002, rows[0][1], None)]
+    out = fertility.judge(spark.createDataFrame(rows + odd, "doc_id long, text string, lang string"), width=6.0)
+    got = {r.doc_id: r.kept for r in out.collect() if r.doc_id >= 1000}
+    assert got == {1000: False, 1001: False, 1002: True}
+    assert out.where("doc_id < 1000").agg(F.count_if("kept")).first()[0] >= 595
+    flat = out.where("lang = 'x' and n_tokens between 256 and 511 and not base_failed").toPandas().letters_per_token
+    band = {(r.of_lang, r.of_class): r for r in fertility.fit_bands(out, F.col("lang"), width=6.0).collect()}["x", 8]
+    q = sorted(round(v / 0.005) for v in flat)
+    q1, q2, q3 = (next(v for k, v in enumerate(q, 1) if 4 * k >= i * len(q)) * 0.005 for i in (1, 2, 3))
+    assert len(q) >= 100 and abs(band.low_letters_per_token - (q2 - 6 * max((q2 - q1) / 0.6745, 0.04))) < 1e-9 and abs(band.high_letters_per_token - (q2 + 6 * max((q3 - q2) / 0.6745, 0.04))) < 1e-9
 
 
 @settings(max_examples=60, deadline=None)

@@ -39,7 +39,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 FULL_TOKENS = 200
 #: Fitted bands: robust deviations to each side, fewest texts of a group.
-WIDTH, LEAST_GROUP = 8.0, 100
+WIDTH, LEAST_GROUP = 6.0, 100
 #: Fitted measures: (step in which values are counted, least deviation).
 FITTED = {"chars_per_token": (0.005, 0.04), "byte_share": (0.002, 0.02), "token_entropy": (0.01, 0.1), "letters_per_token": (0.005, 0.04)}
 #: Bytes of text at a time: the more, the fewer words are split twice.

@@ -1,33 +1,39 @@
 """Operator 9: scoring with an interpolated modified Kneser-Ney model, counted in Spark.
 
-Tokens are words `[^\\x20\\x09-\\x0D]+` after A-Z are lower-cased, then one end token per text; a bigram's first
-word may be the start of the text. The model has order 2:
+Tokens are words `[^\\x20\\x09-\\x0D]+` after A-Z are lower-cased, then one end token per text; the first words of an n-gram
+may reach the start of the text, which is one token more. The model has order 3 (or 2):
 
-    p(w | v) = max(c(vw) - D(c(vw)), 0) / c(v) + g(v) p(w),    p(w) if v was never seen
-    p(w)     = max(n(w) - E(n(w)), 0) / n + g / (V + 1),       n(w): distinct words before w
+    p(w | u v) = max(c(uvw) - D3(c(uvw)), 0) / c(uv) + g(uv) p(w | v),    p(w | v) if uv was never seen
+    p(w | v)   = max(a(vw) - D2(a(vw)), 0) / a(v) + g(v) p(w),            p(w) if v was never seen
+    p(w)       = max(n(w) - D1(n(w)), 0) / n + g / (V + 1)
 
-D and E are the three discounts of modified Kneser-Ney, from counts of counts at each level; g hand on what
+a(vw) is the number of distinct words before vw, or c(vw) where v is the start, before which nothing stands; with order 2 it is c(vw).
+n(w) is the number of distinct words before w. The D are the three discounts of modified Kneser-Ney, from counts of counts at each level; g hand on what
 they take. V is the number of distinct training tokens, and one more stands for all unseen words.
 
 1. Texts become parts of a few million tokens, stored: local vocabulary (64-bit word hashes) and tokens as places in it.
-2. Each part sends its distinct bigrams (sorted 56-bit hashes, with training counts) in slices by hash range.
-   A task merges one range over all parts into a sorted hash array in a file that it maps into memory, looks
-   every part's slice up in it, and sends the counts back in the same order. The merged arrays are stored: they are the model.
-   Ranges of a hash are even whatever the words are: a word that makes up a third of the text does not gather in one task.
-3. The part that a bigram is credited to adds it to the statistics of its two words; words are merged and sent
-   back likewise.
+2. Each part sends its distinct trigrams (sorted 56-bit hashes, with training counts) in slices by hash range.
+   A task merges one range over all parts into sorted hash arrays of keys and counts, in a file that it maps into memory; from the mapped arrays it
+   looks up every part's slice, and sends the counts back in the same order. The merged arrays are stored as well: they are the model.
+   Ranges of a hash are even whatever the words are: a word that makes up a third of the text does not gather in one task. Their number follows the bytes of text.
+3. The part that a trigram is credited to adds it to the statistics of its two bigrams; bigrams are merged and sent
+   back likewise, and then add to the statistics of their words, which are merged last.
 4. Each part then has all it needs to score its texts.
 Parts are stored in buckets, so that what is sent back is joined to them where they are. Nothing but sums goes to the driver.
 
 Null texts count as empty: the end token alone. A null doc_id is trained on. Repeated rows are texts
-like others. With nothing to train on, the model is uniform over the unseen word: every token has log10 1/(V + 1) = 0.
+like others; an empty table gives no rows. Very long texts are parts of their own. Extra columns are dropped.
+With nothing to train on, the model is uniform over the unseen word: every token has log10 1/(V + 1) = 0.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
+from functools import reduce
 from itertools import pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +45,13 @@ from docgrid.llm.common import CHUNK_BYTES, importable, materialise, shared_dir,
 from docgrid.llm.words import NON_SPACE, Words, mix
 
 U = np.uint64
+ORDER = 3
 PART_TOKENS = 2 << 20
+#: Bytes of text for each hash range.
+RANGE_BYTES = 48 << 20
 START, END = U(0x5DEECE66D5DEECE6), U(0xB5026F5AA96619E9)
 BITS = 56
+_C = U(0x9FB21C651E98DF25)
 LEAST = 0.05
 
 
@@ -131,7 +141,7 @@ def parts(docs: DataFrame, text: str, doc_id: str, held: Column, part_tokens: in
 
 
 class Part:
-    """A part's tokens: word and word before (places in the vocabulary; the last place is the start), and the bigrams."""
+    """A part's tokens: word and word before (places in the vocabulary; the last place is the start), and their n-grams."""
 
     def __init__(self, row: dict):
         self.ids, self.held, self.lengths = row["ids"], np.array(row["held"], bool), np.array(row["lengths"], np.int64)
@@ -141,13 +151,23 @@ class Part:
         self.before = np.concatenate([[0], self.word[:-1]])
         self.before[self.first] = len(self.words) - 1
         self.train = np.repeat(~self.held, self.lengths)
+        later = np.ones(len(self.word), bool)
+        later[self.first] = False
+        self.later = np.flatnonzero(later)  # tokens with two before them, the start counted
 
     def bigrams(self):
         """Sorted distinct keys, the key's place for each token, and training counts."""
-        h = mix(self.words[self.before] * U(0x9FB21C651E98DF25) + self.words[self.word]) >> U(64 - BITS)
+        h = mix(self.words[self.before] * _C + self.words[self.word]) >> U(64 - BITS)
         keys, place = np.unique(h, return_inverse=True)
         return keys, place, np.bincount(place[self.train], minlength=len(keys))
 
+    def trigrams(self):
+        """As bigrams, with a place for each of `later`."""
+        at = self.later
+        h = mix((self.words[self.before[at - 1]] * _C + self.words[self.before[at]]) * _C + self.words[self.word[at]]) >> U(64 - BITS)
+        keys, place = np.unique(h, return_inverse=True)
+        return keys, place, np.bincount(place[self.train[at]], minlength=len(keys))
+
     def word_keys(self):
         """Sorted keys of the vocabulary and the start, and the order that sorts them."""
         keys = mix(self.words.copy()) >> U(64 - BITS)
@@ -176,51 +196,77 @@ def sent_batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["shard", "part", "keys", "counts"])
 
 
-def merge(sent: DataFrame, kind: str, model: bool) -> DataFrame:
+class Mapped:
+    """Sorted keys and their counts in a file that is mapped into memory: only the pages that are looked at are read."""
+
+    def __init__(self, keys: np.ndarray, counts: list[np.ndarray]):
+        self.file = tempfile.NamedTemporaryFile()  # gone with the task; the stored copy is the model's row
+        for x in (keys, *counts):
+            self.file.write(np.ascontiguousarray(x).tobytes())
+        self.file.flush()
+        n = len(keys)
+        self.keys = np.memmap(self.file.name, U, "r", 0, n)
+        self.counts = [np.memmap(self.file.name, np.int64, "r", 8 * n * (i + 1), n) for i in range(len(counts))]
+
+    def find(self, keys: np.ndarray) -> list[np.ndarray]:
+        """The counts of keys that are all there."""
+        at = np.searchsorted(self.keys, keys)
+        return [c[at] for c in self.counts]
+
+
+def merge(sent: DataFrame, kind: str, of: int) -> DataFrame:
     """For each shard and part the sums over all parts, in the part's order; `own` marks keys credited to the part.
-    sums: keys with a first sum above 0, its total, and how many keys have sums of 1, 2, 3, 4 (first, then last column)."""
+    sums: keys with a first sum above 0, its total, the total of the sums in column `of`, and how many of these are 1, 2, 3, 4."""
 
     def work(t: pa.Table) -> pa.Table:
         t = t.sort_by("part")
         owners, lists = one(t, "part"), [unpack_keys(k) for k in one(t, "keys")]
         every = np.concatenate(lists)
         order = np.argsort(every, kind="stable")
-        ranked = every[order]
-        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        del every
-        counts = [list(map(unpack_counts, c)) for c in one(t, "counts")]
-        sums = [np.add.reduceat(np.concatenate([c[i] for c in counts])[order], first) for i in range(len(counts[0]))]
+        every = every[order]
+        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+        every = every[first]
+        packed, sums, seen = one(t, "counts"), [], None
+        for i in range(len(packed[0])):
+            column = np.concatenate([unpack_counts(c[i]) for c in packed])[order]
+            seen = column > 0 if seen is None else seen
+            sums.append(np.add.reduceat(column, first))
         # the first part with a training count owns the key
-        seen = np.concatenate([c[0] for c in counts])[order] > 0
-        at = np.where(seen, np.arange(len(order)), len(order))
-        owner = np.minimum.reduceat(at, first)
+        owner = np.minimum.reduceat(np.where(seen, np.arange(len(order)), len(order)), first)
         own = np.zeros(len(order) + 1, bool)
         own[np.append(order, len(order))[owner]] = True
-        shard, rows, begin = t.column("shard")[0].as_py(), [], 0
-        with tempfile.NamedTemporaryFile() as file:
-            file.write(ranked[first].tobytes())
-            file.flush()
-            table = np.memmap(file.name, U, "r")
-            for part, keys in zip(owners, lists, strict=True):
-                place = np.searchsorted(table, keys)
-                rows.append((kind, part, shard, np.packbits(own[begin : begin + len(keys)]).tobytes(), None, [pack_counts(s[place]) for s in sums], None))
-                begin += len(keys)
-            held = sums[0] > 0
-            totals = [int(held.sum()), int(sums[0].sum()), *(int((s == k).sum()) for s in (sums[0], sums[-1]) for k in (1, 2, 3, 4))]
-            rows.append(("sums", None, shard, None, None, None, totals))
-            if model:
-                rows.append(("model", None, shard, None, pack_keys(table[held]), [pack_counts(s[held]) for s in sums], None))
-            del table
+        held = sums[0] > 0
+        totals = [int(held.sum()), int(sums[0].sum()), int(sums[of].sum()), *(int((sums[of] == k).sum()) for k in (1, 2, 3, 4))]
+        shard = t.column("shard")[0].as_py()
+        rows = [("sums", None, shard, None, None, None, totals), ("model", None, shard, None, pack_keys(every[held]), [pack_counts(s[held]) for s in sums], None)]
+        model = Mapped(every, sums)
+        del every, sums, held, order, first, seen, owner, packed
+        begin = 0
+        for part, keys in zip(owners, lists, strict=True):
+            rows.append((kind, part, shard, np.packbits(own[begin : begin + len(keys)]).tobytes(), None, [pack_counts(c) for c in model.find(keys)], None))
+            begin += len(keys)
         types = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
         return pa.table([pa.array([r[i] for r in rows], x) for i, x in enumerate(types)], names=[f.split()[0] for f in BACK.split(", ")])
 
-    return sent.groupBy("shard").applyInArrow(work, BACK)
+    return materialise(sent.groupBy("shard").applyInArrow(work, BACK), kind, "zstd")
+
+
+class Totals(NamedTuple):
+    """Of a level: n-grams seen, their occurrences, the sum of the counts that discounts are from, and how many of these are 1, 2, 3, 4."""
 
+    kinds: int
+    tokens: int
+    counted: int
+    ones: int
+    twos: int
+    threes: int
+    fours: int
 
-def totals(back: DataFrame) -> list[int]:
-    """Sums over the shards: ten numbers."""
-    r = back.where("kind = 'sums'").agg(*(F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(10))).first()
-    return [int(x or 0) for x in r]
+
+def totals(back: DataFrame) -> Totals:
+    """Sums over the shards."""
+    r = back.where("kind = 'sums'").agg(*(F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(7))).first()
+    return Totals(*(int(x or 0) for x in r))
 
 
 def received(t: pa.Table, kind: str) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -233,90 +279,169 @@ def received(t: pa.Table, kind: str) -> tuple[np.ndarray, list[np.ndarray]]:
 
 # ---- the model
 
-def discounts(n: list[int]) -> np.ndarray:
+def discounts(n: Sequence[int]) -> np.ndarray:
     """What is taken from counts of 0, 1, 2, and 3 or more, from the counts of counts 1 to 4. Held within LEAST and the count less LEAST, so that no word gets no probability; all 1/2 where no count is 1."""
     y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
     d = [k - (k + 1) * y * n[k] / n[k - 1] if y and n[k - 1] else 0.5 for k in (1, 2, 3)]
     return np.array([0.0, *(min(max(x, LEAST), k - LEAST) for k, x in enumerate(d, 1))])
 
 
-def probabilities(c_vw, c_v, n_v, n_w, bigram_sums: list[int], word_sums: list[int]) -> np.ndarray:
-    """p(w | v) of arrays: counts of bigram and first word, n_v: first word's bigrams with counts 1, 2, 3+, n_w: distinct words before w."""
-    d, e = discounts(bigram_sums[2:6]), discounts(word_sums[6:10])
-    vocabulary, pairs = word_sums[0] - 1, bigram_sums[0]  # the start is no token
-    m1, m2 = word_sums[6], word_sums[7]
-    handed = (e[1] * m1 + e[2] * m2 + e[3] * max(vocabulary - m1 - m2, 0)) / pairs if pairs else 1.0
-    low = (n_w - e[np.minimum(n_w, 3)]) / max(pairs, 1) + handed / (max(vocabulary, 0) + 1)
-    high = (c_vw - d[np.minimum(c_vw, 3)] + (d[1] * n_v[0] + d[2] * n_v[1] + d[3] * n_v[2]) * low) / np.maximum(c_v, 1)
-    return np.where(c_v > 0, high, low)
+class Levels(NamedTuple):
+    """Totals of words, bigrams and (order 3) trigrams."""
+
+    words: Totals
+    bigrams: Totals
+    trigrams: Totals | None
+
+    def unigram(self, n_w: np.ndarray) -> np.ndarray:
+        d, t = discounts(self.words[3:]), self.words
+        pairs = self.bigrams.kinds
+        more = max(t.kinds - t.ones - t.twos, 0)
+        handed = (d[1] * t.ones + d[2] * t.twos + d[3] * more) / pairs if pairs else 1.0
+        return (n_w - d[np.minimum(n_w, 3)]) / max(pairs, 1) + handed / (max(t.kinds, 0) + 1)
+
+
+def interpolated(count: np.ndarray, context: np.ndarray, followers: Sequence[np.ndarray], low: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """One level over the next lower one. followers: how many different words follow the context once, twice, more often."""
+    high = (count - d[np.minimum(count, 3)] + (d[1] * followers[0] + d[2] * followers[1] + d[3] * followers[2]) * low) / np.maximum(context, 1)
+    return np.where(context > 0, high, low)
 
 
 SCORES = "id bigint, held boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
-def score(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc_id", part_tokens: int = PART_TOKENS) -> tuple[DataFrame, DataFrame, int]:
-    """(scores of every text, the stored model's bigram arrays, number of training tokens). `held` is true for texts not to learn from."""
+def by_class(at: np.ndarray, count: np.ndarray, n: int) -> list[np.ndarray]:
+    """How often each place occurs with a count of 1, of 2, and above."""
+    return [np.bincount(at[m], minlength=n) for m in (count == 1, count == 2, count >= 3)]
+
+
+def owned(place: np.ndarray, at: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """For each n-gram credited to the part, a token that ends it."""
+    example = np.zeros(len(own), np.int64)
+    example[place] = at
+    return example[own]
+
+
+def bigram_counts(p: Part, right: pa.Table | None, order: int):
+    """Keys of a part's bigrams, and what the part adds: occurrences, a, and the trigrams that begin with the bigram by their count."""
+    keys, place, n = p.bigrams()
+    if order < 3:
+        return keys, [n, n]
+    a, size = np.zeros(len(keys), np.int64), len(keys)
+    follow = [a, a, a]
+    if len(p.later):
+        own, (c,) = received(right, "trigram")
+        at = owned(p.trigrams()[1], p.later, own)
+        a = np.bincount(place[at], minlength=size)
+        follow = by_class(place[at - 1], c[own], size)
+    starts = place[p.first]
+    a[starts] = n[starts]  # before the start stands nothing: occurrences
+    return keys, [n, a, *follow]
+
+
+def word_counts(p: Part, right: pa.Table) -> list[np.ndarray]:
+    """What a part adds for each word: occurrences, the bigrams that begin with it by their count, their sum, and the words before it."""
+    _, place, _ = p.bigrams()
+    own, columns = received(right, "bigram")
+    at, a, n = owned(place, np.arange(len(place)), own), columns[1][own], len(p.words)
+    v, w = p.before[at], p.word[at]
+    occurs = np.bincount(p.word[p.train], minlength=n)
+    occurs[-1] = int((~p.held).sum())
+    return [occurs, *by_class(v, a, n), np.bincount(v, weights=a, minlength=n).astype(np.int64), np.bincount(w, minlength=n)]
+
+
+def token_scores(p: Part, right: pa.Table, levels: Levels) -> tuple[np.ndarray, np.ndarray]:
+    """For each token its training count and log10 probability."""
+    _, place, _ = p.bigrams()
+    _, two = received(right, "bigram")
+    _, order = p.word_keys()
+    words = [np.empty_like(order) for _ in range(6)]
+    for to, x in zip(words, received(right, "word")[1], strict=True):
+        to[order] = x
+    c, *follow, a, n_w = words
+    v, w = p.before, p.word
+    low = levels.unigram(n_w[w])
+    low = interpolated(two[1][place], a[v], [x[v] for x in follow], low, discounts(levels.bigrams[3:]))
+    if levels.trigrams and len(p.later):
+        at = p.later
+        _, (three,) = received(right, "trigram")
+        context = place[at - 1]
+        low[at] = interpolated(three[p.trigrams()[1]], two[0][context], [x[context] for x in two[2:]], low[at], discounts(levels.trigrams[3:]))
+    return c[w], np.log10(low)
+
+
+def score(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc_id", order: int = ORDER, part_tokens: int = PART_TOKENS, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, DataFrame, int]:
+    """(scores of every text, the stored model: sorted hash arrays of each level by range, number of training tokens). `held` is true for texts not to learn from."""
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
     spark = docs.sparkSession
-    shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    shards = max(8, -(-int(size) // range_bytes))
     name = f"docgrid_parts_{uuid.uuid4().hex}"
     stored = parts(docs, text, doc_id, held, part_tokens)
     stored.write.bucketBy(shards, "part").option("path", f"{shared_dir(spark).rstrip('/')}/{name}").option("compression", "zstd").saveAsTable(name)
     stored = spark.table(name)
 
-    def send_bigrams(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys, _, n = Part(row).bigrams()
-                yield sent_batch(list(sent_rows(row["part"], keys, [n], shards)))
+    def send(level):
+        """Rows of a part to all ranges; level gives sorted keys and counts."""
 
-    bigrams = materialise(merge(stored.mapInArrow(send_bigrams, SENT), "bigram", True), "bigrams", "zstd")
+        def run(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    keys, counts = level(Part(row))
+                    yield sent_batch(list(sent_rows(row["part"], keys, counts, shards)))
 
-    def send_words(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.Table.from_batches([sent_batch([])])
-        row = left.to_pylist()[0]
-        p = Part(row)
-        keys, place, _ = p.bigrams()
-        own, (c,) = received(right, "bigram")
-        example = np.zeros(len(keys), np.int64)
-        example[place] = np.arange(len(place))  # any token with the bigram
-        example, c = example[own], c[own]
-        v, w, n = p.before[example], p.word[example], len(p.words)
-        stats = [np.bincount(p.word[p.train], minlength=n), *(np.bincount(v[m], minlength=n) for m in (c == 1, c == 2, c >= 3)), np.bincount(w, minlength=n)]
-        stats[0][-1] = int((~p.held).sum())
-        sorted_keys, order = p.word_keys()
-        return pa.Table.from_batches([sent_batch(list(sent_rows(row["part"], sorted_keys, [s[order] for s in stats], shards)))])
-
-    credited = stored.groupBy("part").cogroup(bigrams.where("kind = 'bigram'").select("kind", "part", "shard", "own", "counts").groupBy("part")).applyInArrow(send_words, SENT)
-    words = materialise(merge(credited, "word", False), "words", "zstd")
-    bigram_sums, word_sums = totals(bigrams), totals(words)
-    # the start is counted among the words, once per training text
+        return stored.mapInArrow(run, SENT)
+
+    def answer(back: DataFrame, level):
+        """As send, with what was sent back to the part."""
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows:
+                return pa.Table.from_batches([sent_batch([])])
+            row = left.to_pylist()[0]
+            keys, counts = level(Part(row), right)
+            return pa.Table.from_batches([sent_batch(list(sent_rows(row["part"], keys, counts, shards)))])
+
+        mine = back.where(F.col("part").isNotNull()).select("kind", "part", "shard", "own", "counts")
+        return stored.groupBy("part").cogroup(mine.groupBy("part")).applyInArrow(run, SENT)
+
+    def three(p: Part):
+        keys, _, n = p.trigrams()
+        return keys, [n]
+
+    def one_word(p: Part, right: pa.Table):
+        keys, at = p.word_keys()
+        return keys, [x[at] for x in word_counts(p, right)]
+
+    trigrams = merge(send(three), "trigram", 0) if order == 3 else None
+    pairs = answer(trigrams, lambda p, right: bigram_counts(p, right, 3)) if order == 3 else send(lambda p: bigram_counts(p, None, 2))
+    bigrams = merge(pairs, "bigram", 1)
+    words = merge(answer(bigrams, one_word), "word", 5)
+    back = bigrams.unionByName(words) if trigrams is None else trigrams.unionByName(bigrams).unionByName(words)
+    # the start is counted among the words, once per training text, but is no token
     train_docs = stored.select(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0
-    train_tokens, vocabulary = word_sums[1] - train_docs, word_sums[0] - (1 if train_docs else 0)
-    word_sums[0] = vocabulary + 1
+    n = totals(words)
+    n = n._replace(kinds=n.kinds - (1 if train_docs else 0), tokens=n.tokens - train_docs)
+    levels, train_tokens, vocabulary = Levels(n, totals(bigrams), totals(trigrams) if trigrams else None), n.tokens, n.kinds
 
     def send_scores(left: pa.Table, right: pa.Table) -> pa.Table:
         names = [f.split()[0] for f in SCORES.split(", ")]
         if not left.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
         p = Part(left.to_pylist()[0])
-        _, place, _ = p.bigrams()
-        _, (c_vw,) = received(right, "bigram")
-        _, order = p.word_keys()
-        c, *n_v, n_w = (np.empty_like(x) for x in [order] * 5)
-        for to, x in zip((c, *n_v, n_w), received(right, "word")[1], strict=True):
-            to[order] = x
-        v, w = p.before, p.word
-        logs = np.log10(probabilities(c_vw[place], c[v], [x[v] for x in n_v], n_w[w], bigram_sums, word_sums))
-        base = np.log10((c[w] + 1) / (train_tokens + vocabulary + 1))
+        c, logs = token_scores(p, right, levels)
+        base = np.log10((c + 1) / (train_tokens + vocabulary + 1))
         return pa.table(
-            [pa.array(p.ids, pa.int64()), pa.array(p.held), pa.array(p.lengths), *(pa.array(np.add.reduceat(x, p.first)) for x in ((c[w] > 0).astype(np.int64), base, logs))],
+            [pa.array(p.ids, pa.int64()), pa.array(p.held), pa.array(p.lengths), *(pa.array(np.add.reduceat(x, p.first)) for x in ((c > 0).astype(np.int64), base, logs))],
             names=names,
         )
 
-    back = bigrams.where("kind = 'bigram'").unionByName(words.where("kind = 'word'")).select("kind", "part", "shard", "own", "counts")
-    scored = stored.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(send_scores, SCORES)
-    return scored, bigrams.where("kind = 'model'").select("shard", "keys", "counts"), train_tokens
+    mine = back.where(F.col("part").isNotNull()).select("kind", "part", "shard", "own", "counts")
+    scored = stored.groupBy("part").cogroup(mine.groupBy("part")).applyInArrow(send_scores, SCORES)
+    level = {"trigram": trigrams, "bigram": bigrams, "word": words}
+    model = reduce(DataFrame.unionByName, (x.where("kind = 'model'").select(F.lit(k).alias("level"), "shard", "keys", "counts") for k, x in level.items() if x is not None))
+    return scored, model, train_tokens
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -368,12 +368,26 @@ def test_packed_keys(keys):
 
 
 def test_model_is_stored(spark, docs):
-    _, model, n = kneser_ney.score(docs, F.lit(False), part_tokens=500)
+    """The stored arrays hold every n-gram once, sorted, whatever the parts and ranges; scores do not depend on these."""
+    scored, model, n = kneser_ney.score(docs, F.lit(False), part_tokens=500, range_bytes=10_000)
+    again, _, _ = kneser_ney.score(docs, F.lit(False))
     rows = model.collect()
-    keys = [kneser_ney.unpack_keys(bytes(r["keys"])) for r in rows]
-    assert all((np.diff(k.astype(object)) > 0).all() for k in keys if len(k) > 1)
-    total = sum(int(kneser_ney.unpack_counts(bytes(r["counts"][0])).sum()) for r in rows)
-    assert total == n
+    assert len({r["shard"] for r in rows}) > 8
+    for level in ("trigram", "bigram", "word"):
+        keys = [kneser_ney.unpack_keys(bytes(r["keys"])) for r in rows if r["level"] == level]
+        assert all((np.diff(k.astype(object)) > 0).all() for k in keys if len(k) > 1)
+    count = {x: sum(int(kneser_ney.unpack_counts(bytes(r["counts"][0])).sum()) for r in rows if r["level"] == x) for x in ("trigram", "bigram", "word")}
+    assert count == {"trigram": n - docs.count(), "bigram": n, "word": n + docs.count()}
+    one, two = (sorted((r.n_tokens, round(r.score, 6)) for r in x.collect()) for x in (scored, again))
+    assert one == two
+
+
+def test_order_two(spark, docs):
+    """A longer context makes a corpus that it was counted in more likely."""
+    total = [kneser_ney.score(docs, F.lit(False), order=k)[0].agg(F.sum("score")).first()[0] for k in (2, 3)]
+    assert total[0] < total[1] < 0
+    with pytest.raises(ValueError):
+        kneser_ney.score(docs, F.lit(False), order=4)
 
 
 def test_proximity(spark):

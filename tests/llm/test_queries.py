@@ -140,32 +140,45 @@ def test_op8(spark, sf_dir, rows):
 def test_op9(spark, sf_dir, rows):
     texts = [[*WORD.findall(lower(r[1])), 0] for r in rows]
     held = [r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 2 for r in rows]
-    one, two = collections.Counter(), collections.Counter()
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
     for w, h in zip(texts, held, strict=True):
         if not h:
             one.update(w)
             two.update(zip([1, *w], w, strict=False))
+            three.update(zip([1, *w], w, w[1:], strict=False))
     n, v = sum(one.values()), len(one)
-    context, of, before = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0]), collections.Counter()
-    for (a, b), c in two.items():
-        context[a] += c
-        of[a][min(c, 3) - 1] += 1
-        before[b] += 1
+    a = collections.Counter({k: c for k, c in two.items() if k[0] == 1})
+    a.update((y, z) for _, y, z in three)
+    context, of, before = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0]), collections.Counter(y for _, y in two)
+    for (x, _), c in a.items():
+        context[x] += c
+        of[x][min(c, 3) - 1] += 1
+    context3, of3 = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0])
+    for (x, y, _), c in three.items():
+        context3[x, y] += c
+        of3[x, y][min(c, 3) - 1] += 1
 
     def cut(counts):
         n1, n2, n3, n4 = (sum(x == k for x in counts) for k in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2)
         return [0, *(min(max(x, 0.05), k - 0.05) for k, x in enumerate((1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3), 1))]
 
-    d, e = cut(list(two.values())), cut(list(before.values()))
+    d, e, f = cut(list(a.values())), cut(list(before.values())), cut(list(three.values()))
     handed = sum(e[min(x, 3)] for x in before.values()) / len(two)
 
-    def p(a, b):
-        low = (before[b] - e[min(before[b], 3)]) / len(two) + handed / (v + 1)
-        return (two[a, b] - d[min(two[a, b], 3)] + sum(d[k + 1] * of[a][k] for k in range(3)) * low) / context[a] if context[a] else low
+    def p2(x, y):
+        low = (before[y] - e[min(before[y], 3)]) / len(two) + handed / (v + 1)
+        return (a[x, y] - d[min(a[x, y], 3)] + sum(d[k + 1] * of[x][k] for k in range(3)) * low) / context[x] if context[x] else low
 
-    assert abs(sum(p("stone", w) for w in one) + p("stone", "never seen") - 1) < 1e-9
-    out = [(r[0], h, len(w), sum(one[x] > 0 for x in w), n, round(sum(math.log10((one[x] + 1) / (n + v + 1)) for x in w), 6), round(sum(math.log10(p(a, b)) for a, b in zip([1, *w], w, strict=False)), 6)) for r, w, h in zip(rows, texts, held, strict=True)]
+    def p(x, y, z=None):
+        if z is None:
+            return p2(x, y)
+        c = three[x, y, z]
+        return (c - f[min(c, 3)] + sum(f[k + 1] * of3[x, y][k] for k in range(3)) * p2(y, z)) / context3[x, y] if context3[x, y] else p2(y, z)
+
+    for x in (("stone",), ("the", "river"), (1, "the"), (1,)):
+        assert abs(sum(p(*x, w) for w in one) + p(*x, "never seen") - 1) < 1e-9
+    out = [(r[0], h, len(w), sum(one[x] > 0 for x in w), n, round(sum(math.log10((one[x] + 1) / (n + v + 1)) for x in w), 6), round(math.log10(p(1, w[0])) + sum(math.log10(p(*x)) for x in zip([1, *w], w, w[1:], strict=False)), 6)) for r, w, h in zip(rows, texts, held, strict=True)]
     found = [(*r[:5], round(r[5], 6), round(r[6], 6)) for r in got(spark, "op9_kneser_ney", sf_dir[0], "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")]
     assert [x[:5] for x in expect(found)] == [x[:5] for x in expect(out)]
     for x, y in zip(sorted(found, key=lambda r: (repr(r[:3]), r[5])), sorted(out, key=lambda r: (repr(r[:3]), r[5])), strict=True):

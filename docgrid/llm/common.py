@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -39,11 +40,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: With this a query's shuffle files go when it has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is written in here leaves no shuffle files behind: nothing reads them again, as the table is read back."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def materialise(df: DataFrame, name: str, compression: str = "lz4") -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/docgrid-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    with shuffles_removed(spark):
+        df.select("*").write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

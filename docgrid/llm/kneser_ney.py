@@ -12,7 +12,7 @@ n(w) is the number of distinct words before w. The D are the three discounts of
 they take. V is the number of distinct training tokens, and one more stands for all unseen words.
 
 1. Texts become parts of a few million tokens, stored: local vocabulary (64-bit word hashes) and tokens as places in it.
-2. Each part sends its distinct trigrams (sorted 56-bit hashes, with training counts) in slices by hash range.
+2. Each part sends its distinct trigrams (sorted hashes of `key_bits`, with training counts) in slices by hash range.
    A task merges one range over all parts into sorted hash arrays of keys and counts, in a file that it maps into memory; from the mapped arrays it
    looks up every part's slice, and sends the counts back in the same order. The merged arrays are stored as well: they are the model.
    Ranges of a hash are even whatever the words are: a word that makes up a third of the text does not gather in one task. Their number follows the bytes of text.
@@ -46,48 +46,61 @@ from docgrid.llm.words import NON_SPACE, Words, mix
 
 U = np.uint64
 ORDER = 3
-PART_TOKENS = 2 << 20
+PART_TOKENS = 3 << 19
 #: Bytes of text for each hash range.
-RANGE_BYTES = 48 << 20
+RANGE_BYTES = 16 << 20
 START, END = U(0x5DEECE66D5DEECE6), U(0xB5026F5AA96619E9)
-BITS = 56
 _C = U(0x9FB21C651E98DF25)
 LEAST = 0.05
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def squeeze(a: np.ndarray, width: int) -> bytes:
+    """Unsigned integers that fit into so many bytes: byte planes, compressed. Only the low planes are noise."""
+    wide = np.ascontiguousarray(a.astype("<u8")).view(np.uint8).reshape(-1, 8)
+    return bytes([width]) + len(a).to_bytes(8, "little") + _ZSTD.compress(np.ascontiguousarray(wide[:, :width].T), asbytes=True)
+
+
+def widen(data: bytes) -> np.ndarray:
+    width, n = data[0], int.from_bytes(data[1:9], "little")
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(_ZSTD.decompress(data[9:], width * n, asbytes=True), np.uint8).reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
+def width_of(top: int) -> int:
+    return max(1, -(-int(top).bit_length() // 8))
+
+
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as steps of 5 bytes, or of 8 where one is longer (first byte: which)."""
-    step = np.diff(keys, prepend=U(0)).astype("<u8")
-    if not len(step) or int(step[1:].max(initial=0)) < 1 << 40:
-        return b"\x05" + keys[:1].astype("<u8").tobytes() + step[1:].view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-    return b"\x08" + step.tobytes()
+    """Sorted keys as the first one and steps."""
+    step = np.diff(keys, prepend=keys[:1])
+    return (int(keys[0]) if len(keys) else 0).to_bytes(8, "little") + squeeze(step, width_of(step.max(initial=0)))
 
 
 def unpack_keys(data: bytes) -> np.ndarray:
-    if data[:1] == b"\x08":
-        return np.cumsum(np.frombuffer(data, "<u8", offset=1), dtype=U)
-    if len(data) < 9:
-        return np.zeros(0, U)
-    wide = np.zeros(((len(data) - 9) // 5 + 1, 8), np.uint8)
-    wide[0] = np.frombuffer(data, np.uint8, 8, 1)
-    wide[1:, :5] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, 5)
-    return np.cumsum(wide.view("<u8").ravel(), dtype=U)
+    return np.cumsum(widen(data[8:]), dtype=U) + U(int.from_bytes(data[:8], "little"))
 
 
 def pack_counts(n: np.ndarray) -> bytes:
     """Counts in as few bytes each as the largest needs."""
-    top = int(n.max(initial=0))
-    kind = "<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8"
-    return kind[2].encode() + n.astype(kind).tobytes()
+    return squeeze(n, width_of(n.max(initial=0)))
 
 
 def unpack_counts(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[:1].decode()}", offset=1).astype(np.int64)
+    return widen(data).astype(np.int64)
+
+
+def key_bits(size: int) -> int:
+    """Bits of an n-gram's hash for so many bytes of text: so many that of a few million n-grams about one shares its key with another, and 63 at most."""
+    return min(63, max(40, 19 + int(size).bit_length()))
 
 
-def slices(keys: np.ndarray, shards: int) -> list[tuple[int, int]]:
+def slices(keys: np.ndarray, shards: int, bits: int) -> list[tuple[int, int]]:
     """Where each shard's range of sorted keys begins and ends."""
-    edges = [(s << BITS) // shards for s in range(1, shards)]
+    edges = [(s << bits) // shards for s in range(1, shards)]
     return list(pairwise([0, *np.searchsorted(keys, np.array(edges, U)).tolist(), len(keys)]))
 
 
@@ -119,7 +132,7 @@ def parts(docs: DataFrame, text: str, doc_id: str, held: Column, part_tokens: in
                     pa.array([[h for _, hs, *_ in kept for h in hs]], pa.list_(pa.bool_())),
                     pa.array([np.concatenate([n for *_, n in kept])], pa.list_(pa.int64())),
                     pa.array([words[order].tobytes()], pa.binary()),
-                    pa.array([rank[place].astype("<u4").tobytes()], pa.binary()),
+                    pa.array([squeeze(rank[place], 4)], pa.binary()),
                 ],
                 names=[f.split()[0] for f in PARTS.split(", ")],
             )
@@ -143,10 +156,11 @@ def parts(docs: DataFrame, text: str, doc_id: str, held: Column, part_tokens: in
 class Part:
     """A part's tokens: word and word before (places in the vocabulary; the last place is the start), and their n-grams."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, bits: int):
+        self.shift = U(64 - bits)
         self.ids, self.held, self.lengths = row["ids"], np.array(row["held"], bool), np.array(row["lengths"], np.int64)
         self.words = np.append(np.frombuffer(row["vocabulary"], "<u8"), START)
-        self.word = np.frombuffer(row["tokens"], "<u4").astype(np.int64)
+        self.word = widen(row["tokens"]).astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)
         self.before = np.concatenate([[0], self.word[:-1]])
         self.before[self.first] = len(self.words) - 1
@@ -157,20 +171,20 @@ class Part:
 
     def bigrams(self):
         """Sorted distinct keys, the key's place for each token, and training counts."""
-        h = mix(self.words[self.before] * _C + self.words[self.word]) >> U(64 - BITS)
+        h = mix(self.words[self.before] * _C + self.words[self.word]) >> self.shift
         keys, place = np.unique(h, return_inverse=True)
         return keys, place, np.bincount(place[self.train], minlength=len(keys))
 
     def trigrams(self):
         """As bigrams, with a place for each of `later`."""
         at = self.later
-        h = mix((self.words[self.before[at - 1]] * _C + self.words[self.before[at]]) * _C + self.words[self.word[at]]) >> U(64 - BITS)
+        h = mix((self.words[self.before[at - 1]] * _C + self.words[self.before[at]]) * _C + self.words[self.word[at]]) >> self.shift
         keys, place = np.unique(h, return_inverse=True)
         return keys, place, np.bincount(place[self.train[at]], minlength=len(keys))
 
     def word_keys(self):
         """Sorted keys of the vocabulary and the start, and the order that sorts them."""
-        keys = mix(self.words.copy()) >> U(64 - BITS)
+        keys = mix(self.words.copy()) >> self.shift
         order = np.argsort(keys, kind="stable")
         return keys[order], order
 
@@ -185,8 +199,8 @@ SENT = "shard int, part bigint, keys binary, counts array<binary>"
 BACK = "kind string, part bigint, shard int, own binary, keys binary, counts array<binary>, sums array<bigint>"
 
 
-def sent_rows(part: int, keys: np.ndarray, counts: list[np.ndarray], shards: int):
-    for s, (a, b) in enumerate(slices(keys, shards)):
+def sent_rows(part: int, keys: np.ndarray, counts: list[np.ndarray], shards: int, bits: int):
+    for s, (a, b) in enumerate(slices(keys, shards, bits)):
         if b > a:
             yield s, part, pack_keys(keys[a:b]), [pack_counts(c[a:b]) for c in counts]
 
@@ -201,12 +215,13 @@ class Mapped:
 
     def __init__(self, keys: np.ndarray, counts: list[np.ndarray]):
         self.file = tempfile.NamedTemporaryFile()  # gone with the task; the stored copy is the model's row
+        counts = [c.astype(np.min_scalar_type(int(c.max(initial=0)))) for c in counts]
+        at = [0]
         for x in (keys, *counts):
-            self.file.write(np.ascontiguousarray(x).tobytes())
+            at.append(at[-1] + self.file.write(np.ascontiguousarray(x).data))
         self.file.flush()
-        n = len(keys)
-        self.keys = np.memmap(self.file.name, U, "r", 0, n)
-        self.counts = [np.memmap(self.file.name, np.int64, "r", 8 * n * (i + 1), n) for i in range(len(counts))]
+        self.keys = np.memmap(self.file.name, U, "r", 0, len(keys))
+        self.counts = [np.memmap(self.file.name, c.dtype, "r", begin, len(keys)) for c, begin in zip(counts, at[1:], strict=False)]
 
     def find(self, keys: np.ndarray) -> list[np.ndarray]:
         """The counts of keys that are all there."""
@@ -270,11 +285,11 @@ def totals(back: DataFrame) -> Totals:
 
 
 def received(t: pa.Table, kind: str) -> tuple[np.ndarray, list[np.ndarray]]:
-    """A part's slices put together: own, and the sums."""
+    """A part's slices put together: own (none if it was not sent), and the sums."""
     rows = sorted((r for r in t.select(["kind", "shard", "own", "counts"]).to_pylist() if r["kind"] == kind), key=lambda r: r["shard"])
     counts = [[unpack_counts(c) for c in r["counts"]] for r in rows]
-    own = [np.unpackbits(np.frombuffer(r["own"], np.uint8), count=len(c[0])).astype(bool) for r, c in zip(rows, counts, strict=True)]
-    return np.concatenate(own), [np.concatenate([c[i] for c in counts]) for i in range(len(counts[0]))]
+    own = [np.unpackbits(np.frombuffer(r["own"], np.uint8), count=len(c[0])).astype(bool) for r, c in zip(rows, counts, strict=True) if r["own"] is not None]
+    return np.concatenate(own) if own else np.zeros(0, bool), [np.concatenate([c[i] for c in counts]) for i in range(len(counts[0]))]
 
 
 # ---- the model
@@ -376,7 +391,7 @@ def score(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc_
         raise ValueError("order is 2 or 3")
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    shards = max(8, -(-int(size) // range_bytes))
+    shards, bits = max(8, -(-int(size) // range_bytes)), key_bits(size)
     name = f"docgrid_parts_{uuid.uuid4().hex}"
     stored = parts(docs, text, doc_id, held, part_tokens)
     stored.write.bucketBy(shards, "part").option("path", f"{shared_dir(spark).rstrip('/')}/{name}").option("compression", "zstd").saveAsTable(name)
@@ -388,8 +403,8 @@ def score(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc_
         def run(batches):
             for batch in batches:
                 for row in batch.to_pylist():
-                    keys, counts = level(Part(row))
-                    yield sent_batch(list(sent_rows(row["part"], keys, counts, shards)))
+                    keys, counts = level(Part(row, bits))
+                    yield sent_batch(list(sent_rows(row["part"], keys, counts, shards, bits)))
 
         return stored.mapInArrow(run, SENT)
 
@@ -400,8 +415,8 @@ def score(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc_
             if not left.num_rows:
                 return pa.Table.from_batches([sent_batch([])])
             row = left.to_pylist()[0]
-            keys, counts = level(Part(row), right)
-            return pa.Table.from_batches([sent_batch(list(sent_rows(row["part"], keys, counts, shards)))])
+            keys, counts = level(Part(row, bits), right)
+            return pa.Table.from_batches([sent_batch(list(sent_rows(row["part"], keys, counts, shards, bits)))])
 
         mine = back.where(F.col("part").isNotNull()).select("kind", "part", "shard", "own", "counts")
         return stored.groupBy("part").cogroup(mine.groupBy("part")).applyInArrow(run, SENT)
@@ -429,7 +444,7 @@ def score(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc_
         names = [f.split()[0] for f in SCORES.split(", ")]
         if not left.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
-        p = Part(left.to_pylist()[0])
+        p = Part(left.to_pylist()[0], bits)
         c, logs = token_scores(p, right, levels)
         base = np.log10((c + 1) / (train_tokens + vocabulary + 1))
         return pa.table(
@@ -437,7 +452,7 @@ def score(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc_
             names=names,
         )
 
-    mine = back.where(F.col("part").isNotNull()).select("kind", "part", "shard", "own", "counts")
+    mine = back.where(F.col("part").isNotNull()).select("kind", "part", "shard", F.lit(None).cast("binary").alias("own"), "counts")
     scored = stored.groupBy("part").cogroup(mine.groupBy("part")).applyInArrow(send_scores, SCORES)
     level = {"trigram": trigrams, "bigram": bigrams, "word": words}
     model = reduce(DataFrame.unionByName, (x.where("kind = 'model'").select(F.lit(k).alias("level"), "shard", "keys", "counts") for k, x in level.items() if x is not None))

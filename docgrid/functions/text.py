@@ -27,11 +27,16 @@ def _single_folds() -> tuple[str, str]:
 
 
 @F.pandas_udf(T.StringType())
-def strip_accents(s: pd.Series) -> pd.Series:
-    """Exact for all of Unicode; Spark has no decomposition of its own."""
+def _fold(s: pd.Series) -> pd.Series:
     return s.map(fold, na_action="ignore")
 
 
+def strip_accents(text: Column | str) -> Column:
+    """Exact for all of Unicode; Spark has no decomposition of its own. ASCII texts do not leave the JVM."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(_fold(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
+
+
 def key(c: Column) -> Column:
     """Comparable key: no accents, lower case, only a-z and 0-9. Native: what folds to several characters is dropped here anyway."""
     plain = F.regexp_replace(F.translate(c, *_single_folds()), r"\p{Mn}+", "")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -35,23 +36,30 @@ def _last_is_decimal(c: Column, sep: str) -> Column:
     return F.concat(F.replace(head, F.lit(sep)), F.lit("."), F.substring_index(c, sep, -1))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value evaluated once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def number(c: Column) -> Column:
     """Text to double whatever the separators. With both, the later one is the decimal point; one alone parts thousands only if it parts exact groups of three."""
     ends = rf"^{SPACE[4:]}|{SPACE[4:]}$"
-    s = F.translate(F.regexp_replace(c, "(?U)" + ends, ""), "%$ ", "")
-    s = F.translate(s, *_digit_table())
-    dots, commas = _count(s, "."), _count(s, ",")
-    later_dot = F.instr(F.reverse(s), ".") < F.instr(F.reverse(s), ",")
-    plain = (
-        F.when((dots > 0) & (commas > 0), F.when(later_dot, F.replace(s, F.lit(","))).otherwise(F.replace(F.replace(s, F.lit(".")), F.lit(","), F.lit("."))))
-        .when(commas > 1, _last_is_decimal(s, ","))
-        .when(commas == 1, F.when(s.rlike(r"^-?\d{1,3}(,\d{3})+$"), F.replace(s, F.lit(","))).otherwise(F.replace(s, F.lit(","), F.lit("."))))
-        .when(dots > 1, _last_is_decimal(s, "."))
-        .when(s.rlike(r"^-?\d{1,3}(\.\d{3})+$"), F.replace(s, F.lit(".")))
-        .otherwise(s)
-    )
-    plain = F.regexp_replace(plain, "(?U)" + ends, "")
-    return F.when(plain.rlike(_FLOAT), F.replace(plain, F.lit("_")).try_cast("double"))
+
+    def plain(s: Column) -> Column:
+        dots, commas = _count(s, "."), _count(s, ",")
+        later_dot = F.instr(F.reverse(s), ".") < F.instr(F.reverse(s), ",")
+        return (
+            F.when((dots > 0) & (commas > 0), F.when(later_dot, F.replace(s, F.lit(","))).otherwise(F.replace(F.replace(s, F.lit(".")), F.lit(","), F.lit("."))))
+            .when(commas > 1, _last_is_decimal(s, ","))
+            .when(commas == 1, F.when(s.rlike(r"^-?\d{1,3}(,\d{3})+$"), F.replace(s, F.lit(","))).otherwise(F.replace(s, F.lit(","), F.lit("."))))
+            .when(dots > 1, _last_is_decimal(s, "."))
+            .when(s.rlike(r"^-?\d{1,3}(\.\d{3})+$"), F.replace(s, F.lit(".")))
+            .otherwise(s)
+        )
+
+    trimmed = F.translate(F.translate(F.regexp_replace(c, "(?U)" + ends, ""), "%$ ", ""), *_digit_table())
+    text = F.regexp_replace(let(trimmed, plain), "(?U)" + ends, "")
+    return let(text, lambda s: F.when(s.rlike(_FLOAT), F.replace(s, F.lit("_")).try_cast("double")))
 
 
 def loose_number(c: Column) -> Column:

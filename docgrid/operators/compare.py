@@ -10,27 +10,23 @@ from docgrid.functions.values import round2
 from docgrid.schema import ESSENTIAL, ITEM_FIELDS, ITEM_NUMBERS
 
 
-def _ranked(items: DataFrame, side: str) -> DataFrame:
-    """Lines with their code made comparable, and which of that code's lines they are."""
+def _side(items: DataFrame, side: int) -> DataFrame:
     code = F.nullif(folded_upper(F.col("codigo")), F.lit(""))
-    t = items.select("doc_id", F.col("i").alias(f"i_{side}"), F.struct(*ITEM_FIELDS).alias(side), code.alias("code"))
-    return t.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "code").orderBy(f"i_{side}")))
+    return items.select("doc_id", F.lit(side).alias("side"), F.struct("i", F.struct(*ITEM_FIELDS).alias("x")).alias("line"), code.alias("code"))
 
 
 def pairs(read: DataFrame, truth: DataFrame) -> DataFrame:
-    """doc_id, i_read, i_truth, read, truth, por: the k-th line of a code with the k-th true line of it, then the leftovers of both sides in order. Lines that find no partner have nulls on the other side (por is null)."""
-    p, t = _ranked(read, "read"), _ranked(truth, "truth")
-    both = p.join(t, ["doc_id", "code", "k"], "full_outer")  # null codes never match
-    coded = both.where(F.col("read").isNotNull() & F.col("truth").isNotNull()).withColumn("por", F.lit("codigo"))
-
-    def left_over(side: str) -> DataFrame:
-        other = "truth" if side == "read" else "read"
-        rest = both.where(F.col(side).isNotNull() & F.col(other).isNull()).select("doc_id", f"i_{side}", side)
-        return rest.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(f"i_{side}")))
-
-    rest = left_over("read").join(left_over("truth"), ["doc_id", "place"], "full_outer").withColumn("por", F.when(F.col("read").isNotNull() & F.col("truth").isNotNull(), "orden"))
-    columns = ["doc_id", "i_read", "i_truth", "read", "truth", "por"]
-    return coded.select(columns).unionByName(rest.select(columns))
+    """doc_id, i_read, i_truth, read, truth, por: the k-th line of a code with the k-th true line of it, then the leftovers of both sides in order. Lines that find no partner have nulls on the other side (por is null).
+    Both sides are one table that is dealt by page once; a line's partner is found by its place within its code, or within the leftovers."""
+    t = _side(read, 0).unionByName(_side(truth, 1)).repartition("doc_id")
+    t = t.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "side", "code").orderBy("line.i")))
+    same = Window.partitionBy("doc_id", "code", "k")
+    t = t.withColumn("coded", F.col("code").isNotNull() & (F.min("side").over(same) != F.max("side").over(same)))
+    place = F.row_number().over(Window.partitionBy("doc_id", "side", "coded").orderBy("line.i"))
+    t = t.withColumn("place", F.when(F.col("coded"), F.col("k")).otherwise(place)).withColumn("of", F.when(F.col("coded"), F.col("code")))
+    both = t.groupBy("doc_id", "of", "place").agg(*(F.first(F.when(F.col("side") == n, F.col("line")), ignorenulls=True).alias(name) for n, name in enumerate(("r", "t"))))
+    por = F.when(F.col("of").isNotNull(), "codigo").when(F.col("r").isNotNull() & F.col("t").isNotNull(), "orden")
+    return both.select("doc_id", F.col("r.i").alias("i_read"), F.col("t.i").alias("i_truth"), F.col("r.x").alias("read"), F.col("t.x").alias("truth"), por.alias("por"))
 
 
 def unmatched(paired: DataFrame) -> DataFrame:
@@ -41,20 +37,22 @@ def unmatched(paired: DataFrame) -> DataFrame:
 
 
 def judged(paired: DataFrame, fields: tuple[str, ...] = ESSENTIAL) -> DataFrame:
-    """One row per matched line and field with a true value: ok, contiene (the truth with something around it), mal, or faltante."""
-    p = paired.where("por is not null")
-    per_field = []
-    for f in fields:
+    """One row per matched line and field with a true value: ok, contiene (the truth with something around it), mal, or faltante. A pair's fields are exploded, so the pairing is computed once."""
+
+    def cell(f: str):
         read, truth = F.col(f"read.{f}"), F.col(f"truth.{f}")
-        a, b = (round2(read), round2(truth)) if f in ITEM_NUMBERS else (folded_upper(read), folded_upper(truth))
-        inside = F.lit(False) if f in ITEM_NUMBERS else F.contains(F.col("a"), F.col("b"))
-        t = p.select("doc_id", "i_read", "i_truth", F.lit(f).alias("campo"), a.alias("a"), b.alias("b"), truth.cast("string").alias("esperado"), read.cast("string").alias("leido"), F.col("truth.codigo").alias("codigo")).where("b is not null")
-        verdict = F.when(F.col("a").isNull(), "faltante").when(F.col("a") == F.col("b"), "ok").when(inside, "contiene").otherwise("mal")
-        per_field.append(t.withColumn("juicio", verdict).drop("a", "b"))
-    out = per_field[0]
-    for t in per_field[1:]:
-        out = out.unionByName(t)
-    return out
+        number, text = (lambda c: c.cast("double") if f in ITEM_NUMBERS else F.lit(None).cast("double")), (lambda c: F.lit(None).cast("string") if f in ITEM_NUMBERS else c)
+        return F.struct(F.lit(f).alias("campo"), number(read).alias("n_read"), number(truth).alias("n_truth"), text(read).alias("s_read"), text(truth).alias("s_truth"), truth.cast("string").alias("esperado"), read.cast("string").alias("leido"))
+
+    p = paired.where("por is not null and truth is not null and read is not null")
+    t = p.select("doc_id", "i_read", "i_truth", F.col("truth.codigo").alias("codigo"), F.explode(F.array(*map(cell, fields))).alias("c")).select("doc_id", "i_read", "i_truth", "codigo", "c.*")
+    t = t.where("esperado is not null")
+    t = t.withColumns({"a": round2("n_read"), "b": round2("n_truth"), "f": folded_upper(F.col("s_read")), "g": folded_upper(F.col("s_truth"))})
+    numeric = F.col("n_truth").isNotNull()
+    missing = F.when(numeric, F.col("a").isNull()).otherwise(F.col("f").isNull())
+    equal = F.when(numeric, F.col("a") == F.col("b")).otherwise(F.col("f") == F.col("g"))
+    verdict = F.when(missing, "faltante").when(equal, "ok").when(~numeric & F.contains(F.col("f"), F.col("g")), "contiene").otherwise("mal")
+    return t.select("doc_id", "i_read", "i_truth", "campo", "esperado", "leido", "codigo", verdict.alias("juicio"))
 
 
 def accuracy(verdicts: DataFrame, docs: DataFrame, fields: tuple[str, ...] = ESSENTIAL) -> DataFrame:

@@ -43,6 +43,7 @@ def key(c: Column) -> Column:
     return F.regexp_replace(F.lower(plain), "[^a-z0-9]", "")
 
 
+@lru_cache(100_000)
 def plain_key(s) -> str:
     """`key` of one string, for use inside Python functions."""
     return "".join(c for c in fold(str(s)).lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789")

@@ -31,17 +31,17 @@ def notices(extracted: DataFrame, most: int = 8, width: int = 140) -> DataFrame:
     def some(c, line):
         return F.when(F.size(c) > 0, F.array(line)).otherwise(F.array().cast("array<string>"))
 
-    grid = F.transform(F.map_entries(a["mapa"]), lambda e: F.concat(F.lit("   "), F.lpad(e["key"], 22, " "), F.lit("  "), F.coalesce(e["value"], F.lit("— sin título"))))
+    grid = F.transform(F.map_entries(a["mapa"]), lambda e: F.concat(F.lit("   "), F.lpad(e["key"], 22, " "), F.lit("  "), F.coalesce(e["value"], F.lit("(columna sin nombre)"))))
     lines = F.concat(
-        F.array(F.concat(F.lit("encabezado: "), listed(a["encabezado"])), F.concat(F.lit("grilla: "), a["origen_grilla"], F.lit(" | nombres: "), a["origen_mapa"])),
+        F.array(F.concat(F.lit("títulos leídos: "), listed(a["encabezado"])), F.concat(F.lit("columnas según "), a["origen_grilla"], F.lit(" — nombres según "), a["origen_mapa"])),
         grid,
-        some(missing, F.concat(F.lit("esenciales que ninguna columna se llevó: "), listed(missing))),
-        F.coalesce(F.transform(a["titulos_partidos"], lambda t: F.concat(F.lit("título partido: '"), t["texto"], F.lit("' -> "), listed(t["en"]))), F.array().cast("array<string>")),
-        some(a["titulos_sin_datos"], F.concat(F.lit("títulos sin datos abajo (columna vacía): "), listed(a["titulos_sin_datos"]))),
-        some(a["titulos_sin_columna"], F.concat(F.lit("títulos que no se quedaron con ninguna columna: "), listed(a["titulos_sin_columna"]))),
-        some(a["conflictos"], F.concat(F.lit("celdas con dos valores ("), F.size(a["conflictos"]).cast("string"), F.lit(") — síntoma de filas fusionadas:"))),
+        some(missing, F.concat(F.lit("faltan columnas para: "), listed(missing))),
+        F.coalesce(F.transform(a["titulos_partidos"], lambda t: F.concat(F.lit("un título por varias columnas: '"), t["texto"], F.lit("' -> "), listed(t["en"]))), F.array().cast("array<string>")),
+        some(a["titulos_sin_datos"], F.concat(F.lit("títulos de columnas vacías: "), listed(a["titulos_sin_datos"]))),
+        some(a["titulos_sin_columna"], F.concat(F.lit("títulos sin columna propia: "), listed(a["titulos_sin_columna"]))),
+        some(a["conflictos"], F.concat(F.lit("filas con celdas dobles ("), F.size(a["conflictos"]).cast("string"), F.lit("), quizá unidas:"))),
         F.transform(F.slice(a["conflictos"], 1, most), lambda c: F.concat(F.lit("   fila "), c["fila"].cast("string"), F.lit(" -> "), F.array_join(c["detalle"], "; "))),
-        some(a["descartadas"], F.concat(F.lit("líneas descartadas por no parecer items ("), F.size(a["descartadas"]).cast("string"), F.lit("):"))),
+        some(a["descartadas"], F.concat(F.lit("renglones que no son items ("), F.size(a["descartadas"]).cast("string"), F.lit("):"))),
         F.transform(F.slice(a["descartadas"], 1, most), lambda d: F.concat(F.lit("    "), F.substring(d, 1, width))),
     )
     return extracted.select("doc_id", F.when(a["error"].isNotNull(), F.array(F.concat(F.lit("error: "), a["error"]))).otherwise(lines).alias("lineas"))

@@ -207,7 +207,7 @@ def items_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invoices whose lines run together two by two: each pair is one row with two codes."""
     t = synth.invoices(spark, sf_dir, jitter=False)
     line = F.floor((F.col("y") - synth.FIRST_Y) / synth.PITCH)
-    t = t.withColumn("y", F.when((F.col("y") >= synth.FIRST_Y) & (F.col("txt") != "TRANSPORTE"), synth.FIRST_Y + synth.PITCH * (line - F.pmod(line, F.lit(2)))).otherwise(F.col("y")))
+    t = t.withColumn("y", F.when((F.col("y") >= synth.FIRST_Y) & (F.col("txt") != "SUMA Y SIGUE"), synth.FIRST_Y + synth.PITCH * (line - F.pmod(line, F.lit(2)))).otherwise(F.col("y")))
     r = stored(rows.group_rows(t, tol=5.0, b=0.0), "rows")
     c = items.conflicts(items.lines(r, items.page_grids(r)))
     return c.select("doc_id", F.explode("detalle").alias("d")).where(F.startswith("d", F.lit("codigo"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows_with_two_codes"))
@@ -317,7 +317,7 @@ _CELLS = f"""p AS ({_PAGES}), c AS (SELECT 'n' || s_nationkey AS doc_id, r * 3 +
 ORACLE = {
     "key_normalize": "SELECT doc_id, md5(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]', '', 'g')) AS k FROM documents",
     "text_clean": r"SELECT doc_id, md5(nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), '')) AS k FROM documents",
-    "parse_number": f"WITH {LINES} SELECT o, n, cents AS local, cents AS abroad, CASE WHEN cents < 100000 AND false THEN NULL ELSE cents END AS mixed, cents AS loose FROM full_lines",
+    "parse_number": f"WITH {LINES} SELECT o, n, cents AS local, cents AS abroad, cents AS mixed, cents AS loose FROM full_lines",
     "parse_number_edge": "SELECT v, CAST(n AS DOUBLE) AS n, CAST(loose AS DOUBLE) AS loose FROM (" + _values(EDGE_NUMBERS, "v, n, loose") + ")",
     "date_normalize": "SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS d, strftime(o_orderdate, '%m/%Y') AS passed FROM orders",
     "tax_id_normalize": "SELECT c_custkey, substr(s, 1, 2) || '-' || substr(s, 3, 8) || '-' || substr(s, 11, 1) AS whole, substr(s, 1, 10) AS short FROM (SELECT c_custkey, CAST(20000000000 + c_custkey AS VARCHAR) AS s FROM customer)",
@@ -329,21 +329,21 @@ ORACLE = {
     "score_sorted": f"WITH {_CELLS} SELECT doc_id, txt AS texto, 1.0::DOUBLE - r / 10000.0::DOUBLE AS score FROM c",
     "boxes_at_edge": f"WITH {_CELLS} SELECT doc_id, CAST(box_id AS INTEGER) AS box_id, CASE WHEN y + 11 >= 4997 THEN CASE WHEN x1 >= 1007 THEN 'der,abajo' ELSE 'abajo' END ELSE 'der' END AS toca, CAST(x0 AS INTEGER) AS x0, CAST(x1 AS INTEGER) AS x1 FROM c WHERE x1 >= 1007 OR y + 11 >= 4997",
     "row_grouping": f"""WITH {LINES}, x AS (
-        SELECT o, -1 AS r, 1 AS boxes, 'Original' AS first FROM full_lines WHERE n = 1 AND o % 3 = 0 UNION ALL SELECT o, 0, 7, 'ARTICULO' FROM full_lines WHERE n = 1
-        UNION ALL SELECT o, n, CASE WHEN n % 2 = 0 AND contains(name, ' ') THEN 7 ELSE 6 END, lpad(CAST(partkey AS VARCHAR), 7, '0') FROM full_lines UNION ALL SELECT o, max(lines) + 1, 2, 'TRANSPORTE' FROM full_lines GROUP BY o)
+        SELECT o, -1 AS r, 1 AS boxes, 'Duplicado' AS first FROM full_lines WHERE n = 1 AND o % 3 = 0 UNION ALL SELECT o, 0, 7, 'CODIGO' FROM full_lines WHERE n = 1
+        UNION ALL SELECT o, n, CASE WHEN n % 2 = 0 AND contains(name, ' ') THEN 7 ELSE 6 END, lpad(CAST(partkey AS VARCHAR), 7, '0') FROM full_lines UNION ALL SELECT o, max(lines) + 1, 2, 'SUMA Y SIGUE' FROM full_lines GROUP BY o)
         SELECT CAST(o AS VARCHAR) AS doc_id, CAST(row_number() OVER (PARTITION BY o ORDER BY r) - 1 AS INTEGER) AS row_id, CAST(boxes AS BIGINT) AS boxes, first FROM x""",
     "row_pitch": "SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST(CASE WHEN count(*) = 1 THEN 40 ELSE 30 END AS BIGINT) AS pitch FROM lineitem GROUP BY l_orderkey",
     "skew_estimate": "SELECT 'n' || s_nationkey AS doc_id, 3 * count(*) AS boxes, true AS near FROM supplier GROUP BY s_nationkey",
     "column_bands": "SELECT 'n' || s_nationkey AS doc_id, CAST(b AS BIGINT) AS band_id, CAST([40, 300, 900][b + 1] AS BIGINT) AS x_left, CAST([140, 640, 1010][b + 1] AS BIGINT) AS x_right FROM (SELECT DISTINCT s_nationkey FROM supplier), (VALUES (0), (1), (2)) v(b)",
     "column_bands_header": "SELECT CAST(o AS VARCHAR) AS doc_id, CAST(b AS BIGINT) AS band_id, CAST(l AS DOUBLE) AS x_left, CAST(r AS DOUBLE) AS x_right FROM (SELECT DISTINCT l_orderkey AS o FROM lineitem), (VALUES (0, NULL, 200), (1, 200, 340), (2, 340, 900), (3, 900, 1050), (4, 1050, 1250), (5, 1250, 1430), (6, 1430, NULL)) v(b, l, r)",
     "header_detect": "SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST(CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS header, CAST(7 AS BIGINT) AS strong FROM lineitem GROUP BY l_orderkey",
-    "column_naming": "SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, 'codigo,cantidad,descripcion,precio_unitario,descuento_pct,importe' AS names, 'IVA' AS empty FROM lineitem GROUP BY l_orderkey",
+    "column_naming": "SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, 'codigo,cantidad,descripcion,precio_unitario,descuento_pct,importe' AS names, 'ALICUOTA' AS empty FROM lineitem GROUP BY l_orderkey",
     "box_to_column": f"WITH {LINES} SELECT CAST(o AS VARCHAR) AS doc_id, CAST(b AS BIGINT) AS band, CAST(count(*) + CASE b WHEN 2 THEN count_if(n % 2 = 0 AND contains(name, ' ')) WHEN 3 THEN 1 WHEN 5 THEN 1 ELSE 0 END AS BIGINT) AS boxes FROM full_lines, (VALUES (0), (1), (2), (3), (4), (5)) v(b) GROUP BY o, b",
     "items_extract": f"WITH {LINES} SELECT CAST(o AS VARCHAR) AS doc_id, n - 1 AS i, lpad(CAST(partkey AS VARCHAR), 7, '0') AS codigo, name AS descripcion, quantity AS cantidad, price4, pct, cents FROM full_lines",
     "items_positional": f"""WITH {LINES} SELECT CAST(o AS VARCHAR) AS doc_id, n - 1 AS i, lpad(CAST(partkey AS VARCHAR), 7, '0') AS codigo, CASE WHEN n % 2 = 0 THEN split_part(name, ' ', 1) ELSE name END AS descripcion,
         CASE WHEN n % 2 = 0 AND contains(name, ' ') THEN NULL ELSE price4 END AS price4 FROM full_lines UNION ALL
-        SELECT CAST(o AS VARCHAR), max(lines), 'TRANSPORTE', NULL, NULL FROM full_lines GROUP BY o""",
-    "items_discarded": f"WITH {LINES} SELECT CAST(o AS VARCHAR) AS doc_id, 'TRANSPORTE | ' || {_MONEY} AS texto FROM (SELECT o, CAST(sum(cents) AS BIGINT) AS cents FROM full_lines GROUP BY o)",
+        SELECT CAST(o AS VARCHAR), max(lines), 'SUMA Y SIGUE', NULL, NULL FROM full_lines GROUP BY o""",
+    "items_discarded": f"WITH {LINES} SELECT CAST(o AS VARCHAR) AS doc_id, 'SUMA Y SIGUE | ' || {_MONEY} AS texto FROM (SELECT o, CAST(sum(cents) AS BIGINT) AS cents FROM full_lines GROUP BY o)",
     "items_conflicts": "SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, count(*) // 2 AS rows_with_two_codes FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 2",
     "arithmetic_check": f"WITH {_READ} SELECT doc_id, i, {_STATE} AS estado FROM read",
     "arithmetic_summary": f"WITH {_READ} SELECT {_STATE} AS estado, count(*) AS n FROM read GROUP BY 1",

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
-TITLES = (("ARTICULO", 30, 150), ("CANT.", 200, 280), ("DESCRIPCION", 340, 560), ("PRECIO", 900, 1000), ("% DTO", 1050, 1120), ("IMPORTE", 1250, 1380), ("IVA", 1430, 1490))
+TITLES = (("CODIGO", 30, 150), ("CANTIDAD", 200, 280), ("DETALLE", 340, 560), ("P. UNITARIO", 900, 1000), ("BONIF. %", 1050, 1120), ("TOTAL", 1250, 1380), ("ALICUOTA", 1430, 1490))
 FIRST_Y, PITCH, HEIGHT = 140.0, 30, 22.0
 
 
@@ -73,9 +73,9 @@ def invoice_boxes(lines: DataFrame, jitter: bool = True) -> DataFrame:
     body = lines.select("o", F.col("n").alias("r"), F.explode(cells(part_code(F.col("partkey")))).alias("c"))
     first = lines.where("n = 1").select("o", "lines")
     header = first.select("o", F.lit(0).alias("r"), F.explode(F.array(*(_box(k, F.lit(t), a, b) for k, (t, a, b) in enumerate(TITLES)))).alias("c"))
-    loose = first.where("o % 3 = 0").select("o", F.lit(-1).alias("r"), _box(0, F.lit("Original"), 30, 140).alias("c"))
+    loose = first.where("o % 3 = 0").select("o", F.lit(-1).alias("r"), _box(0, F.lit("Duplicado"), 30, 140).alias("c"))
     foot = lines.groupBy("o").agg(F.max("lines").alias("lines"), F.sum("cents").alias("cents"))
-    foot = foot.select("o", (F.col("lines") + 1).cast("int").alias("r"), F.explode(F.array(_box(0, F.lit("TRANSPORTE"), 900, 1050), _box(1, printed(F.col("cents"), 2), 1250, 1390))).alias("c"))
+    foot = foot.select("o", (F.col("lines") + 1).cast("int").alias("r"), F.explode(F.array(_box(0, F.lit("SUMA Y SIGUE"), 900, 1050), _box(1, printed(F.col("cents"), 2), 1250, 1390))).alias("c"))
     t = body.unionByName(header).unionByName(loose).unionByName(foot)
     level = F.when(F.col("r") < 0, 60.0).when(F.col("r") == 0, 100.0).otherwise(FIRST_Y + PITCH * (F.col("r") - 1))
     shift = (F.pmod(F.col("o") + F.col("r") * 7 + F.col("c.k") * 3, F.lit(5)) - 2).cast("double") if jitter else F.lit(0.0)

@@ -27,22 +27,22 @@ def values(got, page, field):
 
 
 def test_items(got):
-    assert values(got, "f2", "importe") == [11128.46, 18833.46, 2278.15] and values(got, "f2", "precio_unitario") == [5564.23, 3138.91, 2278.15]
-    assert values(got, "f2", "descripcion")[1] == "CINTA P/EMBALAJE STIKO TRANSPARENTE 48 X 100 MT" and values(got, "f2", "descuento_pct") == [None] * 3
-    assert values(got, "f5", "codigo") == ["A09492", "A09345", "P63082"] and values(got, "f5", "precio_unitario")[0] == 23317.4667 and values(got, "f5", "unidad") == ["U"] * 3
-    assert values(got, "f1", "importe") == [2856.34] and values(got, "f1", "precio_unitario") == [1680.2] and values(got, "f1", "descuento_pct") == [15.0]
+    assert values(got, "lamps", "importe") == [3751.5, 1198.8, 7400.0] and values(got, "lamps", "precio_unitario") == [1250.5, 99.9, 7400.0]
+    assert values(got, "lamps", "descripcion")[1] == "SOPORTE METALICO PARA ESTANTE 30 CM" and values(got, "lamps", "descuento_pct") == [None] * 3
+    assert values(got, "screws", "codigo") == ["T-4410", "T-5521", "T-6600"] and values(got, "screws", "precio_unitario")[0] == 1320.5 and values(got, "screws", "unidad") == ["KG"] * 3
+    assert values(got, "soap", "importe") == [900.0] and values(got, "soap", "precio_unitario") == [250.0] and values(got, "soap", "descuento_pct") == [10.0]
     assert got["unreadable"]["items"] == [] and got["unreadable"].avisos.error
 
 
 def test_notices(got):
-    a = got["f2"].avisos
-    assert a.titulos_sin_datos == ["% DTO", "IVA"] and a.descartadas == ["TRANSPORTE | 391.868,27"] and a.origen_grilla == "datos (5 columnas)"
-    assert got["f5"].avisos.descartadas == ["DESPACHO: S/FACT102141"]
-    a = got["f1"].avisos
-    assert a.columnas_sin_titulo == [6] and a.titulos_sin_columna == ["Neto Unit."] and a.mapa["6 [1280,1420]"] is None and a.mapa["4 [920,1080]"] == "precio_unitario"
+    a = got["lamps"].avisos
+    assert a.titulos_sin_datos == ["Bonif. %", "Alicuota"] and a.descartadas == ["SUMA Y SIGUE | 12.350,30"] and a.origen_grilla == "datos (5 columnas)"
+    assert got["screws"].avisos.descartadas == ["ENTREGA: DEPOSITO 4"]
+    a = got["soap"].avisos
+    assert a.columnas_sin_titulo == [6] and a.titulos_sin_columna == ["Neto Unitario"] and a.mapa["6 [1260,1400]"] is None and a.mapa["4 [910,1030]"] == "precio_unitario"
     c = got["fused"].avisos.conflictos
-    assert [(x.fila, x.detalle) for x in c] == [(3, ["codigo: ['1203020', '1203019']", "cantidad: ['20', '20']"])]
-    assert values(got, "fused", "cantidad")[-1] == 2020.0
+    assert [(x.fila, x.detalle) for x in c] == [(3, ["codigo: ['K-411', 'K-412']", "cantidad: ['5', '6']"])]
+    assert values(got, "fused", "cantidad")[-1] == 56.0
 
 
 def test_glued_titles(got):
@@ -57,25 +57,25 @@ def test_touching_columns(got):
 def test_arithmetic(spark, page_table):
     t = checks.arithmetic(item_table(items.extract(page_table)))
     n = {(r.doc_id, r.estado): r["count"] for r in t.groupBy("doc_id", "estado").count().collect()}
-    assert n[("f2", "ok")] == 3 and n[("f5", "ok")] == 3 and n[("f1", "ok")] == 1 and n[("fused", "falla")] == 1
+    assert n[("lamps", "ok")] == 3 and n[("screws", "ok")] == 3 and n[("soap", "ok")] == 1 and n[("fused", "falla")] == 1
     lines = [(1.0, 10.0, None, 10.11), (1.0, 10.0, None, 10.02), (1.0, None, None, 5.0), (2.0, 5.0, 0.0, 10.0), (1.0, float("nan"), None, 3.0)]
     df = spark.createDataFrame([("d", i, "c", *x) for i, x in enumerate(lines)], "doc_id string, i int, codigo string, cantidad double, precio_unitario double, descuento_pct double, importe double")
     assert [r.estado for r in checks.arithmetic(df).orderBy("i").collect()] == ["falla", "ok", "incompleta", "ok", "falla"]
 
 
 def test_positional(page_table):
-    r = items.extract(page_table.where("doc_id = 'f2'"), "posicional").first()
-    assert len(r["items"]) == 4 and r["items"][0].descuento_pct == 11128.46 and r["items"][0].importe is None and r["items"][3].codigo == "TRANSPORTE"
+    r = items.extract(page_table.where("doc_id = 'lamps'"), "posicional").first()
+    assert len(r["items"]) == 4 and r["items"][0].descuento_pct == 3751.5 and r["items"][0].importe is None and r["items"][3].codigo == "SUMA Y SIGUE"
 
 
 def test_notice_lines(page_table):
     out = {r.doc_id: r.lineas for r in report.notices(items.extract(page_table)).collect()}
     assert out["unreadable"] == ["error: no encontré la fila de encabezados"]
-    assert any("1203020" in x for x in out["fused"]) and out["f2"][-1] == "    TRANSPORTE | 391.868,27"
+    assert any("K-411" in x for x in out["fused"]) and out["lamps"][-1] == "    SUMA Y SIGUE | 12.350,30"
 
 
 def test_documents_keep_nulls(page_table):
-    r = report.documents(items.extract(page_table.where("doc_id = 'f2'"))).first()
+    r = report.documents(items.extract(page_table.where("doc_id = 'lamps'"))).first()
     assert '"cae" : {' in r.value and '"numero" : null' in r.value and r.value.count('"codigo_proveedor" : null') == 3
 
 
@@ -86,8 +86,8 @@ def test_standardise_asks_for_poor_pages_only(page_table):
         asked.extend(r.doc_id for r in titles.collect())
         return titles.select("doc_id", F.array(F.lit("codigo"), F.lit("cantidad")).alias("names"))
 
-    out = {r.doc_id: r for r in items.standardise(page_table.where("doc_id in ('f2', 'unreadable')"), mapper).collect()}
-    assert asked == ["unreadable"] and out["unreadable"].avisos.origen_mapa == "llm" and out["f2"].avisos.origen_mapa == "alias"
+    out = {r.doc_id: r for r in items.standardise(page_table.where("doc_id in ('lamps', 'unreadable')"), mapper).collect()}
+    assert asked == ["unreadable"] and out["unreadable"].avisos.origen_mapa == "llm" and out["lamps"].avisos.origen_mapa == "alias"
     # the bands found in the data are named by their titles all the same: names given from outside count only where the grid is the header's
     assert out["unreadable"].avisos.origen_grilla == "datos (2 columnas)" and out["unreadable"]["items"] == []
 

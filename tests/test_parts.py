@@ -11,7 +11,7 @@ from docgrid.plans.pipeline import replay
 from docgrid.sources import files, providers
 from docgrid.streaming.results import result_stream, write_items
 
-from .fixtures import F2, F5
+from .fixtures import LAMPS, SCREWS
 
 
 def test_keys(spark):
@@ -109,7 +109,7 @@ def result(page):
 
 
 def fake_reader(**options):
-    return lambda content: result(F2)
+    return lambda content: result(LAMPS)
 
 
 def test_providers(spark):
@@ -126,9 +126,9 @@ def test_replay_and_stream(spark, tmp_path):
     ocr, gt, out = tmp_path / "ocr", tmp_path / "gt", []
     ocr.mkdir()
     gt.mkdir()
-    (ocr / "factura2_tabla_res.json").write_text(json.dumps(result(F2)))
-    (ocr / "factura5_tabla_res.json").write_text(json.dumps({"res": result(F5)}))
-    (ocr / "factura3_tabla_res.json").write_text(json.dumps(result(F5)))
+    (ocr / "factura2_tabla_res.json").write_text(json.dumps(result(LAMPS)))
+    (ocr / "factura5_tabla_res.json").write_text(json.dumps({"res": result(SCREWS)}))
+    (ocr / "factura3_tabla_res.json").write_text(json.dumps(result(SCREWS)))
     (gt / "factura2.json").write_text(json.dumps({"items": [{"codigo": c, "descripcion": "x", "cantidad": 1, "importe": "11.128,46"} for c in ("0412024", "0720249", "9")]}))
     (gt / "factura5.json").write_text("")
     r = replay(files.ocr_results(spark, str(ocr)), files.truth_files(spark, str(gt)))

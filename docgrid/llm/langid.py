@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docgrid.llm.common import importable, map_text, sliced, table, without_columns
+from docgrid.llm.common import importable, map_text, materialise, sliced, table, without_columns
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -107,12 +107,17 @@ def document_frequency(train: DataFrame, buckets: int = BUCKETS) -> tuple[np.nda
 
 
 def sample_texts(train: DataFrame, per_class: int, max_langs: int = MAX_LANGS) -> DataFrame:
-    """(text, lang): of each language the `per_class` distinct texts with the least hashes. Hashes are made distinct before they are ranked, so a text with many copies is one row; a window's rank limit is applied before its shuffle too."""
+    """(text, lang): of each language the `per_class` distinct texts with the least hashes. Hashes are made distinct before they are ranked, so a text with many copies is one row."""
     hashed = train.select("lang", F.xxhash64(F.lit(4), "text").alias("h"), "text")
     langs = hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_langs).select("lang")
+    distinct = materialise(hashed.select("lang", "h").distinct(), "lang-hashes")
+    # of n even hashes the per_class least lie far below four times that share: no task ranks more than about so many of a language
+    sizes = distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n_lang"))
+    share = (F.col("h").cast("double") + 2.0**63) * 2.0**-64
+    near = distinct.join(F.broadcast(sizes.join(F.broadcast(langs), "lang")), "lang").where(share * F.col("n_lang") <= 4 * per_class + 100)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    least = hashed.select("lang", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= per_class).drop("rank")
-    chosen = F.broadcast(least.join(F.broadcast(langs), "lang"))  # per_class x max_langs rows at most
+    least = near.select("lang", "h").withColumn("rank", rank).where(F.col("rank") <= per_class).drop("rank")
+    chosen = F.broadcast(least)  # per_class x max_langs rows at most
     return hashed.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("text", "lang")
 
 

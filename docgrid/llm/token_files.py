@@ -176,7 +176,8 @@ class Encoder:
         self.library = Tokenizer.from_buffer(spec)
         parsed = json.loads(spec)
         self.by_word = by_word(parsed)
-        self.added = [t["content"].encode() for t in parsed.get("added_tokens") or []]
+        added = [re.escape(t["content"].encode()) for t in parsed.get("added_tokens") or []]
+        self.special = re.compile(b"|".join(added) or rb"(?!)").search
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -194,13 +195,11 @@ class Encoder:
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
             self.parts.clear()
-        rest = []
-        for x in words:
-            if x not in self.words:
-                if _PLAIN(x) and not any(a in x for a in self.added):
-                    self.words[x] = b"".join(map(self.part, _PARTS(x.decode().lower())))
-                else:
-                    rest.append(x)
+        new = [x for x in words if x not in self.words]
+        for x in new:
+            if _PLAIN(x) and not self.special(x):
+                self.words[x] = b"".join(map(self.part, _PARTS(x.decode().lower())))
+        rest = [x for x in new if x not in self.words]
         self.words.update(zip(rest, self.ids([x.decode("utf-8") for x in rest]), strict=True))
         return [self.words[x] for x in words]
 

@@ -5,7 +5,7 @@ characters that are not letters made one blank), hashed to `buckets`. The term f
 the text's n-grams, so a text's score is a mean of weights over its n-grams and whole texts of any length
 are read in bounded memory. Document frequencies are counted over all training rows. Weights are fitted by
 follow-the-regularised-leader (FTRL-proximal) with L1 and L2 penalties, on at most `per_class` distinct training texts
-of each language: those with the least hashes, so copies count once and every language has some. That is the documented bound of what
+of each language: those with the least hashes, so every language has some; a text weighs as many copies as it has, as far as `per_class` goes. That is the documented bound of what
 reaches the driver: `per_class` x languages texts as n-gram shares, and at most `max_langs` languages, the most frequent ones.
 A part of these texts, never used to fit weights, calibrates the softmax by one temperature.
 
@@ -17,6 +17,7 @@ that have the names of added columns are replaced.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -118,7 +119,7 @@ def sample_texts(train: DataFrame, per_class: int, max_langs: int = MAX_LANGS) -
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     least = near.select("lang", "h").withColumn("rank", rank).where(F.col("rank") <= per_class).drop("rank")
     chosen = F.broadcast(least)  # per_class x max_langs rows at most
-    return hashed.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("text", "lang")
+    return hashed.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("copies")).select("text", "lang", "copies")
 
 
 def sample_features(train: DataFrame, per_class: int, buckets: int, max_langs: int = MAX_LANGS) -> list:
@@ -127,18 +128,18 @@ def sample_features(train: DataFrame, per_class: int, buckets: int, max_langs: i
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for t, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for t, lang, copies in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             g, n = grams(t or "", buckets)
             if n:
                 at, c = np.unique(g, return_counts=True)
-                rows.append((lang, at.astype(np.int32), (c / len(g)).astype(np.float32), len(g)))
+                rows.append((lang, at.astype(np.int32), (c / len(g)).astype(np.float32), copies))
         return pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1].tolist() for r in rows], pa.list_(pa.int32())), pa.array([r[2].tolist() for r in rows], pa.list_(pa.float32())), pa.array([r[3] for r in rows], pa.int64())],
-            names=["lang", "at", "share", "n"],
+            names=["lang", "at", "share", "copies"],
         )
 
-    rows = map_text(part, "text", make, "lang string, at array<int>, share array<float>, n bigint", TEXT_BYTES).toPandas()
-    return sorted(((r.lang, np.asarray(r.at, np.int64), np.asarray(r.share, np.float64)) for r in rows.itertuples()), key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
+    rows = map_text(part, "text", make, "lang string, at array<int>, share array<float>, copies bigint", TEXT_BYTES).toPandas()
+    return sorted(((r.lang, np.asarray(r.at, np.int64), np.asarray(r.share, np.float64), int(r.copies)) for r in rows.itertuples()), key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -193,7 +194,10 @@ def fit(train: DataFrame, per_class: int = FIT_PER_CLASS, buckets: int = BUCKETS
     """Learn from train(text, lang)."""
     train = train.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     df, docs = document_frequency(train, buckets)
-    rows = sample_features(train, per_class, buckets)
+    found = sample_features(train, per_class, buckets)
+    texts = Counter(r[0] for r in found)
+    # a text counts as often as it occurs, as far as the language's bound goes; the arrays are shared
+    rows = [r[:3] for r in found for _ in range(min(r[3], max(1, per_class // texts[r[0]])))]
     langs = sorted({r[0] for r in rows})
     if not langs:
         return Model([], np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0)

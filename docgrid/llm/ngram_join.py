@@ -13,7 +13,7 @@ texts without words have no shingles: they are linked to nothing and are a class
 4. Hub groups are verified in blocks of bounded size: a group of any size is cut into blocks, and a task
    compares two blocks by products of sparse 0/1 matrices, so counts of common shingles are exact. A task gives one row per
    node (its links, and the least node it is connected to), not one per pair; a pair that lies
-   in several groups is counted in the group of its least common hub. The comparisons within one group of near
+   in several groups is counted in the group of its least common hub. Tasks are dealt by (hub, block, block), over partitions whose number follows the work. The comparisons within one group of near
    copies grow with the square of its distinct texts, spread over tasks; the rows that leave them do not.
 5. Classes are connected components, by rounds of least labels with pointer jumping in tables.
 
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrid.llm.common import free_name, importable, map_text, materialise, row_key, table, without_rows
+from docgrid.llm.common import BROADCAST_KEYS, free_name, importable, map_text, materialise, row_key, table, without_rows
 from docgrid.llm.words import NON_SPACE, Words, mix, ngram_hash
 
 U = np.uint64
@@ -43,6 +43,8 @@ MAX_HASHES = 160
 BLOCK_NODES = 1024
 BLOCK_SHINGLES = 1 << 19
 CELLS = 1 << 21
+#: Shingles that a partition of the verification reads, about; and the most partitions, beyond which they grow.
+WORK_SHINGLES, MAX_PARTITIONS = 1 << 18, 1 << 16
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
@@ -151,7 +153,7 @@ def verify_block(hub: int, side: np.ndarray, nodes: np.ndarray, copies: np.ndarr
     return (counted * copies[None, :]).sum(axis=1).astype(np.int64), nodes[root]
 
 
-def verify(groups: DataFrame, threshold: float, size: int) -> DataFrame:
+def verify(groups: DataFrame, threshold: float, size: int, partitions: int) -> DataFrame:
     """groups(hub, i, j, block, node, copies, hubs, text) to (node, links, root), one task per (hub, i, j)."""
 
     def work(t: pa.Table) -> pa.Table:
@@ -170,7 +172,7 @@ def verify(groups: DataFrame, threshold: float, size: int) -> DataFrame:
 
     importable(groups.sparkSession)
     # else the blocks of one group would stay where the join by hub put them all
-    return groups.repartition("hub", "i", "j").groupBy("hub", "i", "j").applyInArrow(work, "node bigint, links bigint, root bigint")
+    return groups.repartition(partitions, "hub", "i", "j").groupBy("hub", "i", "j").applyInArrow(work, "node bigint, links bigint, root bigint")
 
 
 def components(edges: DataFrame, name: str = "labels") -> DataFrame:
@@ -200,23 +202,29 @@ def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thre
     )
     banded = nodes.select("node", F.explode("band_hashes").alias("band"))  # copies have equal bands
     hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("band").alias("hub_band"), "hub")
+    hubs = materialise(hubs, "hubs")  # a plain table on this side lets a hot band be split at run time
     members = materialise(banded.join(hubs, banded["band"] == hubs["hub_band"]).select("hub", "node").distinct(), "members")
 
     sizes = members.join(nodes.select("node", "n_shingles"), "node").groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
-    blocks = sizes.select(F.col("hub").alias("group_hub"), F.greatest(F.ceil(F.col("n") / block_nodes), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    own = members.groupBy("node").agg(F.collect_set("hub").alias("hubs"))  # as many as bands at most
+    blocks = F.greatest(F.ceil(F.col("n") / block_nodes), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
+    sizes = materialise(sizes.select(F.col("hub").alias("group_hub"), "s", blocks.alias("blocks")), "sizes")
+    work = sizes.agg(F.sum(F.col("s") * F.col("blocks"))).first()[0] or 0
+    cut = sizes.where("blocks > 1").select("group_hub", "blocks")  # one in about a thousand members at most
+    cut = F.broadcast(cut) if cut.count() <= BROADCAST_KEYS else cut
+    # ids, not texts, learn how their hubs are cut: no text is dealt by hub alone
+    placed = members.join(cut, F.col("hub") == F.col("group_hub"), "left").select("node", F.struct("hub", F.coalesce("blocks", F.lit(1)).alias("blocks")).alias("group"))
+    own = placed.groupBy("node").agg(F.collect_list("group").alias("groups"))  # as many as bands at most
     key = row_key(text, doc_id)
     first = nodes.select("node", "copies", "first")
     chosen = own.join(first, "node")
     body = docs.select(key["id"].cast("long").alias("id"), key["a"].alias("a"), key["b"].alias("b"), F.col(text).alias("text"))
     on = body["id"].eqNullSafe(chosen["first"]["id"]) & (body["a"] == chosen["first"]["a"]) & (body["b"] == chosen["first"]["b"])
-    texts = body.join(chosen.hint("shuffle_hash"), on).select("node", "copies", "hubs", "text")
-    placed = texts.withColumn("hub", F.explode("hubs")).join(blocks, F.col("hub") == F.col("group_hub"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    texts = body.join(chosen.hint("shuffle_hash"), on).select("node", "copies", F.transform("groups", lambda g: g["hub"]).alias("hubs"), F.explode("groups").alias("group"), "text")
+    placed = texts.select("group.*", "node", "copies", "hubs", "text").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "hubs", "text"
     )
-    found = materialise(verify(tasks, threshold, size), "links")
+    found = materialise(verify(tasks, threshold, size, min(MAX_PARTITIONS, math.ceil(work / WORK_SHINGLES) or 1)), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(found.select("node", "root"))
     classed = nodes.join(labels, "node", "left").join(links, "node", "left")

@@ -55,5 +55,5 @@ def documents(extracted: DataFrame) -> DataFrame:
 
 
 def write_documents(extracted: DataFrame, path: str) -> None:
-    """One folder per document with its JSON."""
-    documents(extracted).write.mode("overwrite").partitionBy("doc_id").text(path)
+    """One JSON document per row, beside its doc_id: as many files as tasks, however many the documents."""
+    documents(extracted).write.mode("overwrite").json(path)

@@ -141,10 +141,9 @@ def row_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def skew_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slopes of the tilted pages, and how far from the tilt that was put in: within two steps of the grid where a page has ten rows or more."""
-    t = rows.measured(boxes.boxes(synth.supplier_results(spark, sf_dir)))
-    put = (F.substring("doc_id", 2, 9).cast("int") - 12) / 2000.0
-    return t.select("doc_id", F.size("level").cast("bigint").alias("boxes"), ((F.abs(F.col("slope") - put) <= 0.00041) | (F.size("level") < 30)).alias("near"))
+    """The slopes of pages of sixty rows, in steps of the tilt that was put in."""
+    t = rows.measured(synth.order_pages(spark, sf_dir))
+    return t.select("doc_id", F.size("level").cast("bigint").alias("boxes"), F.round(F.col("slope") * 2000).cast("bigint").alias("steps"))
 
 
 # ---- grid and items
@@ -243,7 +242,7 @@ def field_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def field_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.errors(compare.judged(_pairs(spark, sf_dir))).where("campo = 'descripcion'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return compare.errors(compare.judged(_pairs(spark, sf_dir))).groupBy("doc_id", "campo").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- rectangles, truth
@@ -290,7 +289,7 @@ QUERIES = {f.__name__: f for f in (
     arithmetic_check, arithmetic_summary, match_lines, unmatched_counts, field_accuracy, field_errors, bbox_validate, gt_alias_map, gt_unmapped, gt_report, mode_summary,
 )}
 
-_MONEY = "replace(replace(replace(format('{:,}', cents // 100), ',', '.'), '-', '-'), ' ', '') || ',' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0')"
+MONEY = "replace(replace(replace(format('{:,}', cents // 100), ',', '.'), '-', '-'), ' ', '') || ',' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0')"
 _PRICE = "replace(format('{:,}', price4 // 10000), ',', '.') || ',' || lpad(CAST(price4 % 10000 AS VARCHAR), 4, '0')"
 _READ = f"""{LINES},
 read AS (SELECT CAST(o AS VARCHAR) AS doc_id, n - 1 AS i, CASE WHEN partkey % 5 <> 0 THEN lpad(CAST(partkey AS VARCHAR), 7, '0') END AS code, name, partkey, CASE WHEN partkey % 3 = 0 THEN 'x ' || name ELSE name END AS descripcion, quantity, price4, pct, cents,
@@ -308,6 +307,7 @@ j AS (SELECT doc_id, 'codigo' AS campo, CASE WHEN code IS NULL THEN 'faltante' W
   UNION ALL SELECT doc_id, 'descripcion', CASE WHEN upper(descripcion) = upper(t_name) THEN 'ok' WHEN contains(upper(descripcion), upper(t_name)) THEN 'contiene' ELSE 'mal' END FROM m
   UNION ALL SELECT doc_id, 'cantidad', CASE WHEN quantity = t_quantity THEN 'ok' ELSE 'mal' END FROM m
   UNION ALL SELECT doc_id, 'importe', CASE WHEN importe IS NULL THEN 'faltante' WHEN importe = t_cents THEN 'ok' ELSE 'mal' END FROM m)"""
+ALL_JUDGED = f"""{_JUDGED}, q AS (SELECT * FROM j UNION ALL SELECT doc_id, 'precio_unitario', CASE WHEN round(r_price, 2) = round(t_price, 2) THEN 'ok' ELSE 'mal' END FROM m)"""
 _STATE = """CASE WHEN importe IS NULL THEN 'incompleta'
   WHEN abs(importe / 100.0::DOUBLE - quantity * (price4 / 10000.0::DOUBLE) * (CASE WHEN pct = 0 THEN 1.0::DOUBLE ELSE 1 - pct / 100.0::DOUBLE END)) <= greatest(0.02::DOUBLE, 0.01::DOUBLE * abs(importe / 100.0::DOUBLE)) THEN 'ok' ELSE 'falla' END"""
 _PAGES = "SELECT s_nationkey, s_suppkey, s_name, s_acctbal, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS r FROM supplier"
@@ -333,7 +333,7 @@ ORACLE = {
         UNION ALL SELECT o, n, CASE WHEN n % 2 = 0 AND contains(name, ' ') THEN 7 ELSE 6 END, lpad(CAST(partkey AS VARCHAR), 7, '0') FROM full_lines UNION ALL SELECT o, max(lines) + 1, 2, 'SUMA Y SIGUE' FROM full_lines GROUP BY o)
         SELECT CAST(o AS VARCHAR) AS doc_id, CAST(row_number() OVER (PARTITION BY o ORDER BY r) - 1 AS INTEGER) AS row_id, CAST(boxes AS BIGINT) AS boxes, first FROM x""",
     "row_pitch": "SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST(CASE WHEN count(*) = 1 THEN 40 ELSE 30 END AS BIGINT) AS pitch FROM lineitem GROUP BY l_orderkey",
-    "skew_estimate": "SELECT 'n' || s_nationkey AS doc_id, 3 * count(*) AS boxes, true AS near FROM supplier GROUP BY s_nationkey",
+    "skew_estimate": "SELECT 'p' || (o_orderkey // 60) AS doc_id, 3 * count(*) AS boxes, CAST((o_orderkey // 60) % 25 - 12 AS BIGINT) AS steps FROM orders GROUP BY o_orderkey // 60",
     "column_bands": "SELECT 'n' || s_nationkey AS doc_id, CAST(b AS BIGINT) AS band_id, CAST([40, 300, 900][b + 1] AS BIGINT) AS x_left, CAST([140, 640, 1010][b + 1] AS BIGINT) AS x_right FROM (SELECT DISTINCT s_nationkey FROM supplier), (VALUES (0), (1), (2)) v(b)",
     "column_bands_header": "SELECT CAST(o AS VARCHAR) AS doc_id, CAST(b AS BIGINT) AS band_id, CAST(l AS DOUBLE) AS x_left, CAST(r AS DOUBLE) AS x_right FROM (SELECT DISTINCT l_orderkey AS o FROM lineitem), (VALUES (0, NULL, 200), (1, 200, 340), (2, 340, 900), (3, 900, 1050), (4, 1050, 1250), (5, 1250, 1430), (6, 1430, NULL)) v(b, l, r)",
     "header_detect": "SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST(CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS header, CAST(7 AS BIGINT) AS strong FROM lineitem GROUP BY l_orderkey",
@@ -343,14 +343,14 @@ ORACLE = {
     "items_positional": f"""WITH {LINES} SELECT CAST(o AS VARCHAR) AS doc_id, n - 1 AS i, lpad(CAST(partkey AS VARCHAR), 7, '0') AS codigo, CASE WHEN n % 2 = 0 THEN split_part(name, ' ', 1) ELSE name END AS descripcion,
         CASE WHEN n % 2 = 0 AND contains(name, ' ') THEN NULL ELSE price4 END AS price4 FROM full_lines UNION ALL
         SELECT CAST(o AS VARCHAR), max(lines), 'SUMA Y SIGUE', NULL, NULL FROM full_lines GROUP BY o""",
-    "items_discarded": f"WITH {LINES} SELECT CAST(o AS VARCHAR) AS doc_id, 'SUMA Y SIGUE | ' || {_MONEY} AS texto FROM (SELECT o, CAST(sum(cents) AS BIGINT) AS cents FROM full_lines GROUP BY o)",
+    "items_discarded": f"WITH {LINES} SELECT CAST(o AS VARCHAR) AS doc_id, 'SUMA Y SIGUE | ' || {MONEY} AS texto FROM (SELECT o, CAST(sum(cents) AS BIGINT) AS cents FROM full_lines GROUP BY o)",
     "items_conflicts": "SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, count(*) // 2 AS rows_with_two_codes FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 2",
     "arithmetic_check": f"WITH {_READ} SELECT doc_id, i, {_STATE} AS estado FROM read",
     "arithmetic_summary": f"WITH {_READ} SELECT {_STATE} AS estado, count(*) AS n FROM read GROUP BY 1",
     "match_lines": f"WITH {_READ} SELECT doc_id, i_read, i_truth, por FROM pairs",
     "unmatched_counts": f"WITH {_READ} SELECT doc_id, count(por) AS emparejados, count_if(i_truth IS NULL) AS sin_emparejar_pipeline, count_if(i_read IS NULL) AS sin_emparejar_truth FROM pairs GROUP BY doc_id",
-    "field_accuracy": f"WITH {_JUDGED}, q AS (SELECT * FROM j UNION ALL SELECT doc_id, 'precio_unitario', CASE WHEN round(r_price, 2) = round(t_price, 2) THEN 'ok' ELSE 'mal' END FROM m) SELECT campo, juicio, count(*) AS n FROM q GROUP BY campo, juicio",
-    "field_errors": f"WITH {_JUDGED} SELECT doc_id, count(*) AS n FROM j WHERE campo = 'descripcion' AND juicio IN ('contiene', 'mal') GROUP BY doc_id",
+    "field_accuracy": f"WITH {ALL_JUDGED} SELECT campo, juicio, count(*) AS n FROM q GROUP BY campo, juicio",
+    "field_errors": f"WITH {ALL_JUDGED} SELECT doc_id, campo, count(*) AS n FROM q WHERE juicio IN ('contiene', 'mal') GROUP BY doc_id, campo",
     "bbox_validate": """SELECT p_partkey, x_max, CAST(round(greatest(0, w / 1000.0::DOUBLE) * greatest(0, h / 1000.0::DOUBLE) * 1000000) AS BIGINT) AS ppm, CASE WHEN w < 150 OR h < 15 THEN 'small' WHEN greatest(0, w / 1000.0::DOUBLE) * greatest(0, h / 1000.0::DOUBLE) > 0.9::DOUBLE THEN 'whole' ELSE 'ok' END AS verdict
         FROM (SELECT p_partkey, least(1000, p_partkey % 700 + 400) AS x_max, least(1000, p_partkey % 700 + 400) - p_partkey % 400 AS w, least(1000, p_partkey % 1100) - p_partkey % 37 AS h FROM part)""",
     "gt_alias_map": """SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, CASE WHEN m = 0 THEN 'FACTURA' WHEN m = 1 THEN 'FACTURA - CTA CTE' END AS clase, CASE WHEN m < 2 THEN 'A' END AS letra, lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') AS pv, lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS numero,

@@ -109,6 +109,14 @@ def supplier_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of pages of sixty rows, three to an order, tilted by (page % 25 - 12) / 2000."""
+    o = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 60).alias("page"), (F.col("o_orderkey") % 60).cast("int").alias("r"), F.col("o_orderkey").cast("string").alias("txt"))
+    t = o.select("page", "r", "txt", F.inline(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(a).alias("x0"), F.lit(b).alias("x1")) for k, (a, b) in enumerate(((40.0, 140.0), (300.0, 640.0), (900.0, 1010.0)))))))
+    y = 100.0 + 40.0 * F.col("r") + (F.col("page") % 25 - 12) / 2000.0 * ((F.col("x0") + F.col("x1")) / 2 - 525)
+    return t.select(F.concat(F.lit("p"), F.col("page").cast("string")).alias("doc_id"), (F.col("r") * 3 + F.col("k")).alias("box_id"), "x0", "x1", y.alias("y"), F.lit(HEIGHT).alias("height"), F.lit(0.99).alias("score"), "txt")
+
+
 def read_lines(lines: DataFrame) -> DataFrame:
     """Lines as if read with mistakes: every seventh part is missing, every fifth has no code, every third description has something before it, every eleventh amount is off."""
     key = F.col("partkey")

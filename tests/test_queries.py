@@ -6,9 +6,10 @@ import os
 import duckdb
 import pytest
 
-from docgrid.plans.queries import ORACLE, QUERIES
+from docgrid.plans import queries, report_queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+QUERIES, ORACLE = queries.QUERIES | report_queries.QUERIES, queries.ORACLE | report_queries.ORACLE
 TABLES = "nation customer supplier part orders lineitem documents".split()
 #: These render all invoices; together they take minutes.
 SLOW = {"header_detect", "column_naming", "column_bands_header", "box_to_column", "items_positional", "items_discarded", "items_conflicts", "mode_summary"}

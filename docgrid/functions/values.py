@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections.abc import Callable
@@ -68,6 +69,44 @@ def loose_number(c: Column) -> Column:
     return F.coalesce(number(c), F.get(F.filter(F.transform(words, number), lambda x: x.isNotNull()), F.lit(0)))
 
 
+_PLAIN_FLOAT = re.compile(rf"[+-]?(?:(?:{_DIGITS})(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?|[+-]?(?i:inf|infinity)|(?i:nan)", re.ASCII)
+_GROUPS = {s: re.compile(rf"-?\d{{1,3}}(\{s}\d{{3}})+", re.ASCII) for s in ".,"}
+
+
+def plain_number(text: str | None) -> float | None:
+    """`number` of one string, for use inside Python functions."""
+    if text is None:
+        return None
+    s = text.strip().translate(_strokes())
+    dots, commas = s.count("."), s.count(",")
+    if dots and commas:
+        s = s.replace(",", "") if s.rfind(".") > s.rfind(",") else s.replace(".", "").replace(",", ".")
+    elif dots or commas:
+        sep = "," if commas else "."
+        if dots + commas > 1:  # the last is the decimal point
+            head, _, tail = s.rpartition(sep)
+            s = head.replace(sep, "") + "." + tail
+        elif _GROUPS[sep].fullmatch(s):
+            s = s.replace(sep, "")
+        else:
+            s = s.replace(sep, ".")
+    s = s.strip()
+    return float(s.replace("_", "")) if _PLAIN_FLOAT.fullmatch(s) else None
+
+
+@lru_cache(1)
+def _strokes() -> dict:
+    return str.maketrans(dict(zip(*_digit_table(), strict=True)) | dict.fromkeys("%$ ", ""))
+
+
+def plain_loose_number(text: str | None) -> float | None:
+    """`loose_number` of one string."""
+    whole = plain_number(text)
+    if whole is not None or text is None:
+        return whole
+    return next((x for w in text.split() if (x := plain_number(w)) is not None), None)
+
+
 _DATE = r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{2,4})$"
 
 

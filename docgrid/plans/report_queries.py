@@ -49,7 +49,7 @@ def readable_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 def documents_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical documents written as JSON and read back: lines, the first code, the sum of amounts; sections are there and empty."""
     path = f"{shared_dir(spark)}/docgrid-documents-{uuid.uuid4().hex}"
-    report.write_documents(items.extract(_rows(spark, sf_dir)), path)
+    report.write_documents(pages.pages(_parts(spark, sf_dir), "items", b=0.0), path)
     t = spark.read.schema("doc_id string, value string").json(path)
     d = F.from_json("value", "struct<emisor:struct<cuit:string>,items:array<struct<codigo:string,importe:double>>>")
     t = t.select("doc_id", d.alias("d"), F.contains("value", F.lit('"cuit"')).alias("sections"))

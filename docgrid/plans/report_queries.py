@@ -66,9 +66,8 @@ def row_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def items_tilted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of invoices that are tilted by up to 0.004, read with the estimated tilt."""
     slope = (F.pmod(F.col("doc_id").cast("bigint"), F.lit(9)) - 4) / 1000
-    t = synth.invoices(spark, sf_dir).withColumn("y", F.col("y") + slope * ((F.col("x0") + F.col("x1")) / 2 - 760))
-    r = stored(rows.group_rows(t), "rows")
-    got = items.items(items.lines(r, items.page_grids(r)))
+    t = _parts(spark, sf_dir).withColumn("b", F.transform("b", lambda c: c.withField("y", c["y"] + slope * ((c["x0"] + c["x1"]) / 2 - 760))))
+    got = item_table(pages.pages(t, "items"))
     return got.select("doc_id", F.col("i").cast("bigint").alias("i"), "codigo", "descripcion", F.col("cantidad").cast("bigint").alias("cantidad"), _cents(F.col("importe")).alias("cents"))
 
 

@@ -37,7 +37,8 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of every page's diagnosis."""
-    t = report.notices(items.extract(_rows(spark, sf_dir)))
+    found = pages.pages(_parts(spark, sf_dir), "avisos", "descartadas", "conflictos", b=0.0)
+    t = report.notices(found.select("doc_id", F.struct("avisos.*", "descartadas", "conflictos").alias("avisos")))
     return t.select("doc_id", F.posexplode("lineas").alias("k", "linea"))
 
 

@@ -43,7 +43,7 @@ def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def readable_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = items.page_grids(_rows(spark, sf_dir))
+    g = pages.pages(_parts(spark, sf_dir), "avisos", b=0.0)
     return g.select("doc_id", F.explode(F.map_entries("avisos.mapa")).alias("e")).select("doc_id", F.col("e.key").alias("banda"), F.col("e.value").alias("campo"))
 
 

@@ -85,7 +85,7 @@ def exchanges(df):
 
 
 #: Queries that deal lines by page once and store nothing.
-ONCE = ["box_to_column", "column_bands_header", "column_naming", "items_positional", "items_conflicts", "items_discarded", "items_extract", "items_tilted", "notices"]
+ONCE = ["box_to_column", "column_bands_header", "column_naming", "items_positional", "items_conflicts", "items_discarded", "items_extract", "items_tilted", "notices", "readable_map"]
 
 
 @pytest.mark.parametrize("name", ONCE)

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgrid.functions import bbox
-from docgrid.operators import boxes, checks, compare, grid, items, report, rows
+from docgrid.operators import boxes, checks, compare, grid, items, pages, report, rows
 from docgrid.plans import synth
 from docgrid.plans.pipeline import item_table
-from docgrid.plans.queries import ALL_JUDGED, LINES, MONEY, _cents, _pairs, _rows
+from docgrid.plans.queries import ALL_JUDGED, LINES, MONEY, _cents, _pairs, _parts
 from docgrid.plans.synth import table
 from docgrid.schema import ESSENTIAL
 from docgrid.session import shared_dir, stored
@@ -25,13 +25,12 @@ def accuracy_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report by page over all invoices, read and compared with their lines."""
-    grouped = _rows(spark, sf_dir)
-    found = stored(items.extract(grouped), "items")
+    found = stored(pages.pages(_parts(spark, sf_dir), "filas", "items", "conflictos", b=0.0), "items")
     read, true = item_table(found), synth.true_lines(synth.order_lines(spark, sf_dir))
     scores = compare.accuracy(compare.judged(compare.pairs(read, true)), found)
-    n_rows = grouped.groupBy("doc_id").agg(F.countDistinct("row_id").alias("filas_ocr"))
+    n_rows = found.select("doc_id", F.col("filas").alias("filas_ocr"))
     n_true = true.groupBy("doc_id").agg(F.count(F.lit(1)).alias("esperados"))
-    t = report.summary(found, n_rows, checks.arithmetic(read), scores, n_true)
+    t = report.summary(found.select("doc_id", "items", F.struct("conflictos").alias("avisos")), n_rows, checks.arithmetic(read), scores, n_true)
     return t.select("doc_id", "filas_ocr", F.col("items").cast("bigint").alias("items"), "esperados", F.col("conflictos").cast("bigint").alias("conflictos"), "arit_ok", *ESSENTIAL)
 
 

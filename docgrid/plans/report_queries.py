@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgrid.functions import bbox
-from docgrid.operators import boxes, checks, compare, grid, items, pages, report, rows
+from docgrid.operators import boxes, checks, compare, grid, pages, report, rows
 from docgrid.plans import synth
 from docgrid.plans.pipeline import item_table
 from docgrid.plans.queries import ALL_JUDGED, LINES, MONEY, _cents, _pairs, _parts
@@ -78,17 +79,16 @@ KNOWN = {"CODIGO": "codigo", "CANTIDAD": "cantidad"}
 
 def standardise_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invoices with four titles that only a model can name; the model is a fixed table. A text across each line hides the gaps, so the grid comes from the header (where it comes from the data, a model's names do not count)."""
-    lines = synth.order_lines(spark, sf_dir)
-    across = lines.select(F.col("o").cast("string").alias("doc_id"), ((F.col("n") + 1) * 8 + 7).cast("int").alias("box_id"), F.lit(30.0).alias("x0"), F.lit(1390.0).alias("x1"), (synth.FIRST_Y + synth.PITCH * (F.col("n") - 1)).alias("y"), F.lit(synth.HEIGHT).alias("height"), F.lit(0.99).alias("score"), F.lit("glued").alias("txt"))
-    t = synth.invoice_boxes(lines).unionByName(across)
-    for title, (mark, _) in UNKNOWN.items():
-        t = t.withColumn("txt", F.when(F.col("txt") == title, mark).otherwise(F.col("txt")))
-    named = F.create_map(*(F.lit(x) for pair in {**KNOWN, **dict(UNKNOWN.values())}.items() for x in pair))
+    marks = F.create_map(*(F.lit(x) for title, (mark, _) in UNKNOWN.items() for x in (title, mark)))
+    across = {"box_id": ((F.col("n") + 1) * 8 + 7).cast("int"), "x0": F.lit(30.0), "x1": F.lit(1390.0), "y": synth.FIRST_Y + synth.PITCH * (F.col("n") - 1), "height": F.lit(synth.HEIGHT), "txt": F.lit("glued")}
+    marked = F.transform("b", lambda c: c.withField("txt", F.coalesce(F.try_element_at(marks, c["txt"]), c["txt"])))
+    t = _parts(spark, sf_dir).withColumn("b", F.concat(marked, F.array(F.struct(*(v.alias(c) for c, v in across.items())))))
+    named = {**KNOWN, **dict(UNKNOWN.values())}
 
-    def model(asked: DataFrame) -> DataFrame:
-        return asked.select("doc_id", F.transform("titles", lambda x: F.try_element_at(named, x)).alias("names"))
+    def model() -> Callable:
+        return lambda titles: [named.get(x) for x in titles]
 
-    found = stored(items.standardise(stored(rows.group_rows(t, b=0.0), "rows"), model), "items")
+    found = pages.pages(t, "items", "avisos", b=0.0, make_mapper=model)
     got = found.select("doc_id", "avisos.origen_mapa", F.posexplode("items").alias("i", "x"))
     return got.select("doc_id", "origen_mapa", F.col("i").cast("bigint").alias("i"), "x.codigo", "x.descripcion", _cents(F.col("x.importe")).alias("cents"))
 

@@ -92,3 +92,42 @@ ONCE = ["box_to_column", "column_bands_header", "column_naming", "items_position
 def test_dealt_once(spark, name):
     found = queries.QUERIES.get(name) or __import__("docgrid.plans.report_queries", fromlist=["QUERIES"]).QUERIES[name]
     assert exchanges(found(spark, SF)) == (1, 0)
+
+
+def test_standardise(spark, boxes):
+    """Titles named where the page is read: as items.standardise does it, for pages with a header, without one, and whose names are not enough."""
+    extra = [(80, [("Codigo", 20, 120), ("Q1", 180, 260), ("Q2", 300, 400)]), (120, [("K-1", 20, 110), ("3", 200, 215), ("DOS", 300, 390), ("glued", 20, 400)]), (150, [("K-2", 20, 400)])]
+    odd = {"weak": [(40, [("zz", 20, 60), ("Q4", 90, 130)]), *extra], "poor": [(80, [("Codigo", 20, 120), ("Cantidad", 180, 260), ("Q2", 300, 400)]), *extra[1:]], "alone": [(80, [("Q1", 20, 120), ("Q2", 180, 260)])], "nothing": [(80, [("??", 20, 120)]), *extra[1:]]}
+    more = [(name, k, a, b, y, h, s, t) for name, k, _, _, a, b, y, h, s, t in fixtures.page_rows(odd)]
+    t = boxes.unionByName(spark.createDataFrame(more, boxes.schema))
+    names = {"Codigo": "codigo", "Cantidad": "cantidad", "Q1": "cantidad", "Q2": "descripcion", "Q4": "importe", "Detalle": "iva", "K-1": "codigo", "10,00": "importe"}
+
+    def asked(titles):
+        known = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+        return titles.select("doc_id", F.transform("titles", lambda x: F.try_element_at(known, x)).alias("names"))
+
+    want = {r.doc_id: normal(r) for r in items.standardise(stored(rows.group_rows(t, b=0.0), "rows"), asked).collect()}
+    got = {r.doc_id: normal(r) for r in pages.standardise(pages.parts(t), lambda: lambda titles: [names.get(x) for x in titles], b=0.0).collect()}
+    named = {d for d, r in want.items() if r["avisos"]["origen_mapa"] == "llm"}
+    assert got == want and len(want) == 51 and {"weak", "poor", "alone"} <= named and "nothing" not in named and "lamps" not in named
+
+
+def test_standardise_asks_for_poor_pages_only(spark, boxes):
+    def refuse():
+        def f(titles):
+            raise AssertionError(titles)
+
+        return f
+
+    rich = pages.parts(boxes.where("doc_id in ('lamps', 'screws')"))
+    assert {r.avisos.origen_mapa for r in pages.standardise(rich, refuse, b=0.0).collect()} == {"alias"}
+    short = pages.parts(boxes.where("doc_id = 'unreadable'"))
+    none = pages.standardise(short, lambda: lambda titles: None, b=0.0).first()
+    few = pages.standardise(short, lambda: lambda titles: ["codigo"], b=0.0).first()
+    assert none.avisos.error and few.avisos.origen_mapa == "llm" and few.avisos.error is None
+
+
+def test_standardise_model_dealt_once(spark):
+    from docgrid.plans import report_queries
+
+    assert exchanges(report_queries.standardise_model(spark, SF)) == (1, 0)

@@ -2,8 +2,9 @@
 
 Texts are encoded by the tokenizers library as it stands (special tokens' strings in a text give their ids), an end id is
 appended, and the ids are written in ascending doc_id order, then read back. Whether texts may be encoded word by word is read from
-the tokenizer's file (`by_word`): if neither its normaliser nor its pre-splitting looks across ASCII white space, each distinct word of a worker
-is encoded once. With any other file whole texts go through the library.
+the tokenizer's file (`by_word`): if neither its normaliser nor its pre-splitting looks across ASCII white space, words of printable ASCII and of the
+letters À-ÿ are cut into the pieces that its pattern makes of them, for all of a chunk at once, and each distinct piece of a worker is encoded once; so is
+each other word as a whole, by the library. With any other file whole texts go through the library.
 
 A file is a table in the shared folder. A row is a chunk of neighbouring documents: their ids, their lengths, and `data`, the
 token ids as a Simple-8b stream. A stream is cut into blocks of BLOCK ids; its head has each block's first word, so that
@@ -21,6 +22,8 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
+from codecs import charmap_decode
 
 import numpy as np
 import public_tokenizers
@@ -46,6 +49,8 @@ _MAGIC = b"S8B1"
 # ---- Simple-8b
 
 def _bits(v: np.ndarray) -> np.ndarray:
+    if len(v) and v.max() < 1 << 53:
+        return np.frexp(v.astype(float))[1].astype(np.uint8)  # these are exact as floats
     n = np.zeros(len(v), np.uint8)
     for b in (32, 16, 8, 4, 2, 1):
         big = v >= U(1) << U(b)
@@ -141,10 +146,19 @@ def read_stream(data: bytes, only: int | None = None) -> np.ndarray:
 # ---- tokenizing
 
 _loaded: dict = {}
-#: Words of printable ASCII: normalised by lower-casing alone, and cut by the vocabulary's pattern as this one cuts them.
-_PLAIN = re.compile(rb"[!-~]+").fullmatch
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
-#: The parts of a tokenizer's file for which texts can be taken word by word, and _PARTS cuts plain words.
+#: What a byte is: white space, of a letter, a digit, another character of plain words, or of a word that is not plain. Plain words are of printable
+#: ASCII and the letters À-ÿ (0xC3 and a byte from 0x80): they are normalised by lower-casing each character alone.
+SPACE, LETTER, DIGIT, OTHER, ODD = range(5)
+_KIND = np.full(256, ODD, np.uint8)
+_KIND[0x21:0x7F] = OTHER
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3, *range(0x80, 0xC0)]] = LETTER
+_KIND[0x30:0x3A] = DIGIT
+_KIND[~NON_SPACE] = SPACE
+_KINDS, _LOWER = _KIND.tobytes(), bytes(range(256)).lower()
+#: The characters that stand for bytes in the vocabulary.
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_CHARS = "".join(chr(b) if b in _SHOWN else chr(0x100 + sum(c not in _SHOWN for c in range(b))) for b in range(256))
+#: The parts of a tokenizer's file for which texts can be taken word by word, and `Pieces` cuts plain words.
 BY_WORD = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
     "pre_tokenizer": {
@@ -166,8 +180,74 @@ def by_word(spec: dict) -> bool:
     return plain and all(spec.get(k) == v for k, v in BY_WORD.items())
 
 
+def _values(strings: pa.Array) -> list[bytes]:
+    """to_pylist, some times as fast."""
+    _, at, data = strings.buffers()
+    raw, at = data.to_pybytes() if data else b"", np.frombuffer(at, np.int32, len(strings) + 1, 4 * strings.offset).tolist()
+    return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+class Pieces:
+    """place: the distinct piece that each piece is, in order; known: the distinct ones (of words that are not plain a space and the word); doc: first piece of each text, and their number."""
+
+    def __init__(self, texts: pa.Array, special: re.Pattern | None):
+        w = Words(texts, NON_SPACE, lower=False, hashed=False)
+        buf, size = w.buf, len(w.buf)
+        raw = buf.tobytes()
+        kind, low = np.frombuffer(raw.translate(_KINDS), np.uint8), np.frombuffer(bytearray(raw.translate(_LOWER) + b"\0\0"), np.uint8)
+        two = np.flatnonzero(buf == 0xC3) + 1
+        second = buf[two]
+        low[two[(second < 0x9F) & (second != 0x97)]] += 0x20
+        # words with any other character, × and ÷ included, or with a special token's string are taken whole
+        whole = np.zeros(len(w.start), bool)
+        odd = np.concatenate([np.flatnonzero(kind == ODD), two[(second == 0x97) | (second == 0xB7)]])
+        whole[np.searchsorted(w.start, odd, "right") - 1] = True
+        for m in special.finditer(raw) if special else ():  # one that reaches into the next text does no harm
+            whole[np.searchsorted(w.end, m.start(), "right") : np.searchsorted(w.start, m.end())] = True
+        plain, some = kind != SPACE, whole.any()
+        in_whole = np.zeros(size + 1, np.int8)
+        if some:
+            in_whole[w.start[whole]] += 1
+            in_whole[w.end[whole]] -= 1
+            np.cumsum(in_whole, out=in_whole)
+        in_whole = in_whole[:size].view(bool)
+        plain &= ~in_whole
+        first = np.zeros(size + 2, bool)
+        first[w.start] = True
+        begin = first[:size] | (kind == DIGIT)
+        begin[1:] |= kind[1:] != kind[:-1]
+        # 's 't 'm 'd 're 've 'll: an apostrophe by itself, and the letters after it
+        letter = np.append(kind == LETTER, [False, False]) & ~first
+        q = np.flatnonzero((buf == 0x27) & begin)
+        q = q[letter[q + 1]]
+        a, b = low[q + 1], np.where(letter[np.minimum(q + 2, size)], low[q + 2], 0) if len(q) else q
+        one = (a == 0x73) | (a == 0x74) | (a == 0x6D) | (a == 0x64)
+        both = ((a == 0x72) | (a == 0x76)) & (b == 0x65) | (a == 0x6C) & (b == 0x6C)
+        begin[q[one | both] + 1] = False
+        after = np.concatenate([q[one] + 2, q[both] + 3])
+        begin[after[letter[np.minimum(after, size)]]] = True
+        begin &= plain
+        at = np.flatnonzero(begin)
+        ends = np.cumsum(plain, dtype=np.int32) if size else np.zeros(1, np.int32)
+        pieces = self._distinct(np.append(ends[at] - 1, ends[-1]), low[:size][plain])
+        self.known, self.place = _values(pieces.dictionary), pieces.indices.to_numpy()
+        if some:
+            words = self._distinct(np.append(0, np.cumsum((w.end - w.start)[whole])), buf[in_whole])
+            begin[w.start[whole]] = True
+            at = np.flatnonzero(begin)
+            of_word, place = in_whole[at], np.empty(len(at), np.int32)
+            place[~of_word], place[of_word] = self.place, words.indices.to_numpy() + len(self.known)
+            self.known += [b" " + x for x in _values(words.dictionary)]
+            self.place = place
+        self.doc = np.searchsorted(at, w.at)
+
+    @staticmethod
+    def _distinct(offsets: np.ndarray, data: np.ndarray) -> pa.DictionaryArray:
+        return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+
+
 class Encoder:
-    """The tokenizer of a file's bytes, and a worker's ids by word and by part of a word."""
+    """The tokenizer of a file's bytes, and a worker's ids by piece."""
 
     def __init__(self, spec: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -177,31 +257,32 @@ class Encoder:
         parsed = json.loads(spec)
         self.by_word = by_word(parsed)
         added = [re.escape(t["content"].encode()) for t in parsed.get("added_tokens") or []]
-        self.special = re.compile(b"|".join(added) or rb"(?!)").search
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.special = re.compile(b"|".join(added)) if added else None
+        self.pieces: dict[bytes, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The library's ids of each text, as little-endian unsigned 32-bit integers."""
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            found = self.parts[part] = np.array([x.id for x in self.library.model.tokenize(part)], "<u4").tobytes()
-        return found
-
-    def word_ids(self, words: list[bytes]) -> list[bytes]:
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-            self.parts.clear()
-        new = [x for x in words if x not in self.words]
-        for x in new:
-            if _PLAIN(x) and not self.special(x):
-                self.words[x] = b"".join(map(self.part, _PARTS(x.decode().lower())))
-        rest = [x for x in new if x not in self.words]
-        self.words.update(zip(rest, self.ids([x.decode("utf-8") for x in rest]), strict=True))
-        return [self.words[x] for x in words]
+    def piece_ids(self, pieces: list[bytes]) -> list[bytes]:
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces.clear()
+        known, tokenize = self.pieces, self.library.model.tokenize
+        own = list(map(known.get, pieces))
+        new = [x for x, v in zip(pieces, own, strict=True) if v is None]
+        if not new:
+            return own
+        words = [x for x in new if x[0] == 0x20]
+        known.update(zip(words, self.ids([x[1:].decode("utf-8") for x in words]), strict=True))
+        plain = [x for x in new if x[0] != 0x20] if words else new
+        found, ends = array("I"), [0]  # no list of each: thousands of them wake the garbage collector
+        for x in plain:
+            found.extend([t.id for t in tokenize(charmap_decode(x, "strict", _CHARS)[0])])
+            ends.append(4 * len(found))
+        flat = np.array(found, "<u4").tobytes()
+        known.update(zip(plain, [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], strict=True))
+        fresh = map(known.__getitem__, new)
+        return [next(fresh) if v is None else v for v in own]
 
 
 def encoder(spec: bytes) -> Encoder:
@@ -219,22 +300,16 @@ def token_ids(texts: pa.Array, spec: bytes, end_id: int = END_ID) -> tuple[np.nd
         end = np.array([end_id], "<u4").tobytes()
         whole = [x + end for x in e.ids([t or "" for t in texts.to_pylist()])]
         return np.frombuffer(b"".join(whole), "<u4"), np.array([len(x) // 4 for x in whole], np.int64)
-    w = Words(texts, NON_SPACE, lower=False)
-    _, first, place = np.unique(w.hash, return_index=True, return_inverse=True)
-    raw = w.buf.tobytes()
-    own = e.word_ids([raw[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)])
-    flat = np.frombuffer(b"".join(own), "<u4")
-    size = np.array([len(x) // 4 for x in own], np.int64)
-    start = np.cumsum(size) - size
-    # words in order, and an end after each text
-    size, start = np.append(size, 1), np.append(start, len(flat))
-    flat = np.append(flat, np.uint32(end_id))
-    order = np.insert(place, w.doc[1:], len(size) - 1)
-    n = size[order]
-    at = np.repeat(start[order] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    ends = np.cumsum(w.counts() + 1)
-    sums = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], ends])]
-    return flat[at], np.diff(sums)
+    p = Pieces(texts, e.special)
+    # pieces in order, and an end after each text
+    ids = [*e.piece_ids(p.known), np.array([end_id], "<u4").tobytes()]
+    at = np.cumsum([0, *map(len, ids)], dtype=np.int64)
+    own = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(at), pa.py_buffer(b"".join(ids))])
+    found = own.take(pa.array(np.insert(p.place, p.doc[1:], len(own) - 1)))
+    _, at, flat = found.buffers()
+    at = np.frombuffer(at, np.int64, len(found) + 1) // 4
+    sums = at[np.concatenate([[0], np.cumsum(np.diff(p.doc) + 1)])]
+    return np.frombuffer(flat, "<u4", int(at[-1])) if at[-1] else np.zeros(0, "<u4"), np.diff(sums)
 
 
 FILE = "part bigint, chunk bigint, ids array<bigint>, lengths array<bigint>, data binary"
@@ -268,11 +343,13 @@ def read_ids(file: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                ids, ends = read_stream(r["data"]).astype("<u4"), np.cumsum(r["lengths"])
-                begins = ends - np.array(r["lengths"], np.int64)
-                n = len(begins)
-                columns = [pa.array([r["part"]] * n, pa.int64()), pa.array([r["chunk"]] * n, pa.int64()), pa.array(r["ids"], pa.int64()), pa.array(begins, pa.int64()), pa.array([ids[a:b].tobytes() for a, b in zip(begins, ends, strict=True)], pa.binary())]
+            for i in range(batch.num_rows):
+                part, chunk, doc_ids, lengths, data = (batch.column(c)[i] for c in range(5))
+                lengths = lengths.values.to_numpy()
+                n, ends = len(lengths), np.cumsum(lengths)
+                flat = read_stream(memoryview(data.as_buffer())).astype("<u4")
+                ids = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.append(0, 4 * ends)), pa.py_buffer(flat)])
+                columns = [pa.repeat(part, n), pa.repeat(chunk, n), doc_ids.values, pa.array(ends - lengths), ids.cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in READ.split(", ")])
 
     importable(file.sparkSession)

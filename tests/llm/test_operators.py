@@ -318,6 +318,26 @@ def test_token_ids(name):
     assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
 
 
+def test_token_pieces():
+    """Plain words are cut as the library cuts them, and each distinct piece is encoded once."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        spec = f.read()
+    token_files._loaded.clear()
+    texts = ["\u00c9lan \u00e9lan, \u00c9LAN lan.", "lan, lan \u00e9lan.", "\u00e9lan \u00d7 lan"]
+    token_files.token_ids(pa.array(texts, pa.string()), spec)
+    assert set(token_files.encoder(spec).pieces) == {"\u00e9lan".encode(), b"lan", b",", b".", " \u00d7".encode()}
+    rng, t = random.Random(8), Tokenizer.from_buffer(spec)
+    atoms = [*"' stmdDSTlLaz19!$ \n\t\x00\x1c\x7f\x85\xa0\u0301\u2019\u0130\u03a3\u03c2\u212a\u4e2d\u00c0\u00df\u00de\u00ff\u00d7\u00f7\u00aa", "'re", "'VE", "'ll", "<|endoftext|>", "<|EndOfText|>", "<|startof", "text|>"]
+    odd = [None, "", *("".join(rng.choices(atoms, k=rng.randrange(15))) for _ in range(3000))]
+    for texts in (odd, [], [""], ["<|startof", "text|>"]):
+        ids, sizes = token_files.token_ids(pa.array(texts, pa.string()), spec)
+        want = [[*e.ids, 1] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+        assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+
+
 def test_bands():
     bands, rows = ngram_join.choose_bands(0.8, 0.9995, 160)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9995 and bands * rows <= 160
